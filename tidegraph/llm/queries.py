@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import chat, mixing, token_counts, token_files, toxicity, warc
+from tidegraph.llm import chat, mixing, quality, token_counts, token_files, toxicity, warc
 from tidegraph.session import Scratch
 
 #: File of the public byte-level BPE, found through the installed package; a parameter of the operators.
@@ -24,6 +24,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality(table(spark, d, "documents"), Scratch(spark, "op1"))
+
+
 def op2_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts.token_counts(table(spark, d, "documents"), tokenizer_path())
 
@@ -57,7 +61,7 @@ def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_token_files, op5_warc, op7_chat_windows, op9_toxicity, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_token_files, op5_warc, op7_chat_windows, op9_toxicity, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

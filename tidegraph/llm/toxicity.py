@@ -163,6 +163,7 @@ def vote_counts(docs: DataFrame, voter: dict[str, int]) -> Counter:
 
 
 PATTERNS = 20_000
+ANCHOR = 5.0
 
 
 def _bounded(counts: DataFrame) -> DataFrame:
@@ -180,13 +181,32 @@ def _bounded(counts: DataFrame) -> DataFrame:
     return best.select("pattern", "n")
 
 
+def known_votes(sampled: DataFrame, voter: dict[str, int]) -> Counter:
+    """Sampled rows by (pattern, label)."""
+
+    def cast(batches):
+        import pyarrow as pa
+
+        held, seen = Counter(), {}
+        for b in batches:
+            held.update((votes(t or "", voter, seen), int(y)) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        if held:
+            yield pa.RecordBatch.from_pydict({"pattern": pa.array([p for p, _ in held], pa.int64()), "y": pa.array([y for _, y in held], pa.int32()), "n": pa.array(list(held.values()), pa.int64())})
+
+    rows = sampled.mapInArrow(cast, "pattern long, y int, n long").groupBy("pattern", "y").agg(F.sum("n").alias("n")).collect()  # at most the sample's rows
+    return Counter({(r.pattern, min(1, r.y)): r.n for r in rows})
+
+
 class LabelModel:
     """P(label) and P(vote | label, vote of the parent voter), by expectation maximisation."""
 
-    def __init__(self, counts: Counter, prior: float, rounds: int = 30) -> None:
-        pats = sorted(counts)
+    def __init__(self, counts: Counter, prior: float, known: Counter | None = None, rounds: int = 30) -> None:
+        """known: labelled training documents by (pattern, label); they anchor the two labels, each with the weight ANCHOR."""
+        known = known or Counter()
+        pats = sorted(counts.keys() | {p for p, _ in known})
         self.v = np.array([[p // 3**i % 3 for i in range(VOTERS)] for p in pats], dtype=int).reshape(len(pats), VOTERS)
         self.n = np.array([counts[p] for p in pats], dtype=float)
+        self.anchor = ANCHOR * np.array([[known[p, y] for p in pats] for y in (0, 1)], dtype=float).reshape(2, len(pats))
         ones = (self.v == 1).sum(1)
         self.post = np.where(ones >= 2, 0.95, np.where(ones == 1, 0.5, 0.02)) if len(pats) else np.zeros(0)
         self.prior, self.parent = prior, [-1] * VOTERS
@@ -194,7 +214,6 @@ class LabelModel:
             self._fit(rounds)
             self.parent = self._tree()
             self._fit(rounds)
-        self.by = dict(zip(pats, self.post.tolist(), strict=True))
 
     def _above(self) -> np.ndarray:
         return np.stack([self.v[:, p] if p >= 0 else np.zeros(len(self.v), int) for p in self.parent], axis=1)
@@ -203,7 +222,7 @@ class LabelModel:
         up, cols = self._above(), np.arange(VOTERS)
         for _ in range(rounds):
             table = np.full((VOTERS, 2, 3, 3), 0.1)  # voter, label, parent's vote, vote
-            for y, w in ((0, self.n * (1 - self.post)), (1, self.n * self.post)):
+            for y, w in ((0, self.n * (1 - self.post) + self.anchor[0]), (1, self.n * self.post + self.anchor[1])):
                 for j in cols:
                     np.add.at(table[j, y], (up[:, j], self.v[:, j]), w)
             table /= table.sum(-1, keepdims=True)
@@ -232,6 +251,17 @@ class LabelModel:
             inside.add(a)
         return parent
 
+    def posterior(self, patterns: list[int]) -> np.ndarray:
+        """P(toxic) of vote patterns, counted before or not."""
+        if not len(self.n):
+            return np.full(len(patterns), self.prior)
+        own = LabelModel.__new__(LabelModel)
+        own.v = np.array([[p // 3**i % 3 for i in range(VOTERS)] for p in patterns], dtype=int).reshape(len(patterns), VOTERS)
+        own.parent, cols = self.parent, np.arange(VOTERS)
+        up = own._above()
+        ll = [np.log(self.table[cols, y, up, own.v]).sum(1) for y in (0, 1)]
+        return 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + ll[1] - ll[0], -30, 30)))
+
     def accuracies(self) -> list[float]:
         """Expected share of right votes among the votes of each voter."""
         out = []
@@ -247,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, te
     mined = mine(sampled, terms)
     voter = make_voters(mined, n1, n0)
     prior = min(0.5, max(0.01, (n1 + 1) / (n1 + n0 + 10)))
-    label_model = LabelModel(vote_counts(docs, voter), prior)
+    label_model = LabelModel(vote_counts(docs, voter), prior, known_votes(sampled, voter))
     names = list(dict.fromkeys([*INSULTS, *(t for t, _, _ in mined)]))
     model = Model({t: i for i, t in enumerate(names)}, np.zeros(len(names)), 0.0)
 
@@ -261,7 +291,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, te
 
     rows = sampled.select("text").mapInArrow(features, "terms array<int>, pattern long").collect()  # at most sample_rows
     if rows:
-        soft = np.array([label_model.by.get(r.pattern, prior) for r in rows])
+        soft = label_model.posterior([r.pattern for r in rows])
         cols = np.concatenate([np.array(r.terms, int) for r in rows]) if any(r.terms for r in rows) else np.zeros(0, int)
         ptr = np.repeat(np.arange(len(rows)), [len(r.terms) for r in rows])
         model.weights, model.bias = logistic(ptr, cols, soft, len(names), epochs)
