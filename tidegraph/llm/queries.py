@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import chat, mixing, quality, token_counts, token_files, toxicity, warc
+from tidegraph.llm import chat, decontaminate, mixing, ngram_join, quality, token_counts, token_files, toxicity, warc
 from tidegraph.session import Scratch
 
 #: File of the public byte-level BPE, found through the installed package; a parameter of the operators.
@@ -43,6 +43,10 @@ def op5_warc(spark: SparkSession, d: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_join.near_components(table(spark, d, "documents"), Scratch(spark, "op6"))
+
+
 def op7_chat_windows(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     says = F.lit("</s>[INST] ok [/INST]")
@@ -51,6 +55,10 @@ def op7_chat_windows(spark: SparkSession, d: str) -> DataFrame:
     return chat.digests(formatted)
 
 
+def op8_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"), Scratch(spark, "op8"))
+
+
 def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
 
@@ -61,7 +69,7 @@ def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_token_files, op5_warc, op7_chat_windows, op9_toxicity, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_token_files, op5_warc, op6_ngram_jaccard, op7_chat_windows, op8_decontaminate, op9_toxicity, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
