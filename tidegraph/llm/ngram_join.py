@@ -55,9 +55,11 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_word_hash) > WORDS_CACHED:
         _word_hash.clear()
-    for w in set(words) - _word_hash.keys():
-        _word_hash[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
+    cache, digest = _word_hash, xxhash.xxh3_64_intdigest
+    for w in words:
+        if w not in cache:
+            cache[w] = digest(w)
+    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     n = min(width, len(words))
     out = np.full(len(words) - n + 1, n, np.uint64)
     with np.errstate(over="ignore"):
