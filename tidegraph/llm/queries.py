@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import chat, decontaminate, mixing, ngram_join, quality, token_counts, token_files, toxicity, warc
+from tidegraph.llm import chat, decontaminate, language, mixing, ngram_join, quality, token_counts, token_files, toxicity, warc
 from tidegraph.session import Scratch
 
 #: File of the public byte-level BPE, found through the installed package; a parameter of the operators.
@@ -36,6 +36,10 @@ def op3_token_files(spark: SparkSession, d: str) -> DataFrame:
     return token_files.read(spark, token_files.write(table(spark, d, "documents"), tokenizer_path(), Scratch(spark, "op3")))
 
 
+def op4_language_id(spark: SparkSession, d: str) -> DataFrame:
+    return language.identify(table(spark, d, "pages"), table(spark, d, "documents"), Scratch(spark, "op4"))
+
+
 def op5_warc(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "op5")
     whole = warc.write_monolithic(warc.plan(table(spark, d, "pages"), scratch), scratch)
@@ -69,7 +73,7 @@ def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_token_files, op5_warc, op6_ngram_jaccard, op7_chat_windows, op8_decontaminate, op9_toxicity, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_token_files, op4_language_id, op5_warc, op6_ngram_jaccard, op7_chat_windows, op8_decontaminate, op9_toxicity, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
