@@ -9,10 +9,12 @@
    Equal sets are one node, named by a hash of the set.
 3. The order is cut into fragments (vertical partitions) and a node's shingles are stored by fragment.
    For a candidate pair partial overlaps are counted per fragment in separate tasks and summed.
-4. Candidates. In each posting group all nodes are compared with one leader. A link between two nodes of a
+4. Candidates. In each posting group all nodes are compared with one leader, the node whose shingles are
+   repeated most (the text that others were copied from, if it is there). A link between two nodes of a
    group that both link to its leader adds nothing to the components; any other link has an end that does not
    link to the leader, so those nodes are compared with the rest of their group, except what
-   the triangle inequality of the Jaccard distance and the set sizes exclude. No link between components is lost,
+   the triangle inequality of the Jaccard distance and the set sizes exclude: first with the leader
+   of those nodes, again and again for ROUNDS rounds as components merge, and then with all that is left. No link between components is lost,
    and a group of near copies costs one comparison per member.
 
 Defined cases: null text, or text without words, gives an empty set, linked with nothing; fewer words than
@@ -41,6 +43,8 @@ CHUNK_SHINGLES = 3_000_000
 WORDS_CACHED = 1 << 20
 #: Members of one leader are dealt to one more task per so many.
 SALT_ROWS = 20_000
+#: Rounds in which one more leader of each unsettled group is compared, before all pairs that are left.
+ROUNDS = 2
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 _word_hash: dict[bytes, int] = {}
@@ -201,7 +205,7 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def nodes(docs: DataFrame, root: str, width: int = WIDTH, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
-    """doc_id, node, n (set size), posts (prefix shingles that occur elsewhere) and segs (repeated shingles by fragment; null without posts)."""
+    """doc_id, node, n (set size), mass (mean count of its shingles, in thousandths), posts (prefix shingles that occur elsewhere) and segs (repeated shingles by fragment; null without posts)."""
 
     def flush(ids, sets):
         import pyarrow as pa
@@ -211,12 +215,13 @@ def nodes(docs: DataFrame, root: str, width: int = WIDTH, percent: int = PERCENT
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         unique, back = np.unique(flat, return_inverse=True)
         counts = own.counts(unique)[back]
-        posts, segs, names = [], [], []
+        posts, segs, names, mass = [], [], [], []
         at = 0
         for s, n in zip(sets, sizes.tolist(), strict=True):
             c = counts[at : at + n]
             at += n
             names.append(set_name(s) if n else None)
+            mass.append(int(c.sum(dtype=np.int64) * 1000 // n) if n else 0)
             p = prefix_length(n, percent) if n else 0
             first = np.lexsort((s, c))[:p] if int((c == 1).sum()) < p else np.zeros(0, int)
             first = first[c[first] > 1]
@@ -227,7 +232,7 @@ def nodes(docs: DataFrame, root: str, width: int = WIDTH, percent: int = PERCENT
                 segs.append([x.astype("<u8").tobytes() for x in np.split(rep, cut)])
             else:
                 segs.append(None)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(posts, pa.list_(pa.int64())), pa.array(segs, pa.list_(pa.binary()))], names=["doc_id", "node", "n", "posts", "segs"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mass, pa.int64()), pa.array(posts, pa.list_(pa.int64())), pa.array(segs, pa.list_(pa.binary()))], names=["doc_id", "node", "n", "mass", "posts", "segs"])
 
     def run(batches):
         for b in batches:
@@ -242,7 +247,7 @@ def nodes(docs: DataFrame, root: str, width: int = WIDTH, percent: int = PERCENT
             if ids:
                 yield flush(ids, sets)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, posts array<long>, segs array<binary>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, mass long, posts array<long>, segs array<binary>")
 
 
 # --- 3. overlaps by fragment -----------------------------------------------------------------------
@@ -305,33 +310,49 @@ def links(rows: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFram
     segments = live.select("node", F.posexplode("segs").alias("frag", "seg")).groupBy("node", "frag").agg(F.first("seg").alias("seg"))
     segments = scratch.cut(segments, "segments")
     sizes = scratch.cut(live.groupBy("node").agg(F.first("n").alias("n")), "sizes")
-    posts = live.select(F.explode("posts").alias("h"), "node")
-    groups = posts.groupBy("h").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("h", "lead")
-    groups = scratch.cut(groups, "groups")
+    posts = live.select(F.explode("posts").alias("h"), "node", "mass")
+    groups = posts.groupBy("h").agg(F.max(F.struct("mass", "node")).alias("top"), F.min("node").alias("first"), F.max("node").alias("last"))
+    groups = scratch.cut(groups.where("first <> last").select("h", F.col("top.node").alias("lead")), "groups")
     # members of groups; equal sets fall together
     shared = scratch.cut(posts.join(groups, "h").distinct(), "members")
-    limit = percent / 100
-    n = lambda c: sizes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
     stars = shared.where("node <> lead").select("lead", "node").distinct()
-    first = verified(stars, segments, sizes, scratch, percent)
-    apart = first.where(~F.col("linked"))
-    comp = components(first.where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b")), scratch)
-    # every member with its distance from the leader and its component so far
-    where = shared.join(first, ["lead", "node"], "left").join(comp, "node", "left").join(n("node"), "node")
-    where = where.select("h", "node", F.coalesce("dist", F.lit(0.0)).alias("dist"), F.coalesce("root", "node").alias("root"), F.coalesce("linked", F.lit(True)).alias("near"), F.col("n_node").alias("n"))
-    open_groups = scratch.cut(shared.join(apart.select("lead", "node"), ["lead", "node"], "left_semi").select("h").distinct(), "open")
-    where = scratch.cut(where.join(open_groups, "h", "left_semi"), "around")
-    a = where.where(~F.col("near")).select("h", F.col("node").alias("x"), F.col("dist").alias("dx"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-    b = where.select("h", F.col("node").alias("y"), F.col("dist").alias("dy"), F.col("root").alias("ry"), F.col("n").alias("ny"), "near")
-    slack = 1e-9
-    cross = a.join(b, "h").where(
-        (F.col("near") | (F.col("x") < F.col("y"))) & (F.col("x") != F.col("y")) & (F.col("rx") != F.col("ry")) & (F.abs(F.col("dx") - F.col("dy")) <= 1 - limit + slack)
+    done = verified(stars, segments, sizes, scratch, percent)
+    apart = done.where(~F.col("linked")).select("lead", "node")
+    open_groups = scratch.cut(shared.join(apart, ["lead", "node"], "left_semi").select("h").distinct(), "open")
+    around = shared.join(open_groups, "h", "left_semi").join(done, ["lead", "node"], "left").join(sizes, "node")
+    around = around.select("h", "node", "mass", "n", F.coalesce("dist", F.lit(0.0)).alias("dist"), F.coalesce("linked", F.lit(True)).alias("near"))
+    around = scratch.cut(around, "around")
+    for left in range(ROUNDS, -1, -1):
+        comp = components(done.where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b")), scratch)
+        more = scratch.cut(_across(around, comp, done, scratch, percent, all_pairs=not left), "across")
+        if more.isEmpty():
+            continue
+        done = scratch.cut(done.unionByName(verified(more, segments, sizes, scratch, percent)), "done")
+    return done.where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+
+
+def _across(around: DataFrame, comp: DataFrame, done: DataFrame, scratch: Scratch, percent: int, all_pairs: bool) -> DataFrame:
+    """Pairs (lead, node) of different components in a posting group that may link and were not compared yet.
+
+    One end did not link to the group's first leader. Unless all_pairs, that end is the node with the
+    largest mass of those that are not in the component of the group's first leader.
+    """
+    rooted = around.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    spread = rooted.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("h")
+    rooted = scratch.cut(rooted.join(spread, "h", "left_semi"), "rooted")
+    home = rooted.where("dist = 0 and near").groupBy("h").agg(F.first("root").alias("home"))
+    far = rooted.where(~F.col("near")).join(home, "h", "left").where("root <> home or home is null or not near")
+    if not all_pairs:
+        far = far.where("root <> home or home is null").groupBy("h").agg(F.max(F.struct("mass", "node", "dist", "root", "n")).alias("f")).select("h", "f.*")
+    a = far.select("h", F.col("node").alias("x"), F.col("dist").alias("dx"), F.col("root").alias("rx"), F.col("n").alias("nx"))
+    b = rooted.select("h", F.col("node").alias("y"), F.col("dist").alias("dy"), F.col("root").alias("ry"), F.col("n").alias("ny"), "near")
+    once = F.lit(True) if not all_pairs else F.col("near") | (F.col("x") < F.col("y"))
+    pairs = a.join(b, "h").where(
+        once & (F.col("rx") != F.col("ry")) & (F.abs(F.col("dx") - F.col("dy")) <= 1 - percent / 100 + 1e-9)
         & (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
     )
-    more = cross.select(F.least("x", "y").alias("lead"), F.greatest("x", "y").alias("node")).distinct().join(stars.select("lead", "node"), ["lead", "node"], "left_anti")
-    second = verified(more, segments, sizes, scratch, percent)
-    both = first.where("linked").select("lead", "node").unionByName(second.where("linked").select("lead", "node"))
-    return scratch.cut(both.select(F.col("lead").alias("a"), F.col("node").alias("b")), "links")
+    seen = done.select(F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node"))
+    return pairs.select(F.least("x", "y").alias("lead"), F.greatest("x", "y").alias("node")).distinct().join(seen, ["lead", "node"], "left_anti")
 
 
 def near_components(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
