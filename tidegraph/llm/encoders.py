@@ -13,11 +13,14 @@ import os
 import re
 
 #: Fixed values of the pre-token pattern, for characters whose classes all engines agree on.
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+LETTER = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+SPLIT = re.compile(rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+")
 UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u00b1\\u00b4-\\u00b8\\u00ba\\u00bb\\u00bf-\\u024f\\u2010-\\u2027\\u2030-\\u203a\\u20ac]")
 #: Pre-tokens that a worker keeps beside the broadcast table.
-CACHE_ENTRIES = 1 << 19
-CHUNK_CHARS = 8 << 20
+CACHE_ENTRIES = 1 << 20
+CHUNK_CHARS = 4 << 20
+#: Pre-tokens that go to the library in one text, a line each.
+LINES = 2048
 
 _encoders: dict[tuple, "Encoder"] = {}
 
@@ -40,6 +43,7 @@ class Encoder:
         self.base: dict[str, int | bytes] = {}
         self.special: list[str] = []
         self.split = False
+        self.line_end: list[int] | None = None
         if path.endswith(".model"):
             import sentencepiece
 
@@ -69,6 +73,29 @@ class Encoder:
 
         return array.array("H" if self.width == 2 else "I", ids).tobytes()
 
+    def _lines(self, pieces: list[str]) -> list:
+        """Values of pre-tokens. Those without white space inside stand line by line in one text, which the
+        pre-tokenizer cuts back into them and the line ends; if it does not, each goes alone."""
+        import numpy as np
+
+        if any(p[:1] in "\n\t\r" or p == " " or any(c.isspace() for c in p[1:]) for p in pieces):
+            plain = [p for p in pieces if p[:1] not in "\n\t\r" and p != " " and not any(c.isspace() for c in p[1:])]
+            odd = [p for p in pieces if p not in set(plain)]
+            got = dict(zip(plain, self._lines(plain), strict=True)) if plain else {}
+            got.update(zip(odd, map(self._value, self.raw(odd)), strict=True))
+            return [got[p] for p in pieces]
+        ids = np.array(self.raw(["\n".join(pieces) + "\n"])[0], f"<u{self.width or 4}")
+        if self.line_end is None:
+            self.line_end = self.raw(["\n"])[0]
+        ends = np.flatnonzero(ids == self.line_end[0])
+        if len(self.line_end) != 1 or len(ends) != len(pieces):
+            return list(map(self._value, self.raw(pieces)))
+        starts = np.append(0, ends[:-1] + 1)
+        if not self.width:
+            return (ends - starts).tolist()
+        raw, w = ids.tobytes(), self.width
+        return [raw[a:b] for a, b in zip((starts * w).tolist(), (ends * w).tolist(), strict=True)]
+
     def preload(self, table: dict) -> None:
         """Entries that stay when the cache is cleared."""
         if not self.base and table:
@@ -96,10 +123,10 @@ class Encoder:
         if len(self.cache) > CACHE_ENTRIES + len(self.base):
             self.cache = dict(self.base)
         cache = self.cache
-        new = list({p for c in cut if c for p in c if p not in cache})
-        for at in range(0, len(new), 1 << 15):
-            part = new[at : at + (1 << 15)]
-            cache.update(zip(part, map(self._value, self.raw(part)), strict=True))
+        new = list(set().union(*(c for c in cut if c)).difference(cache))
+        for at in range(0, len(new), LINES):
+            part = new[at : at + LINES]
+            cache.update(zip(part, self._lines(part), strict=True))
         whole = iter(map(self._value, self.raw([t for t, c in zip(texts, cut, strict=True) if c is None])))
         get = cache.__getitem__
         if self.width:
