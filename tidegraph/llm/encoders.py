@@ -12,21 +12,25 @@ import json
 import os
 import re
 
+from tidegraph.llm import caches
+
 #: Fixed values of the pre-token pattern, for characters whose classes all engines agree on.
 LETTER = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 SPLIT = re.compile(rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+")
 UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u00b1\\u00b4-\\u00b8\\u00ba\\u00bb\\u00bf-\\u024f\\u2010-\\u2027\\u2030-\\u203a\\u20ac]")
 #: Pre-tokens that a worker keeps beside the broadcast table.
-CACHE_ENTRIES = 1 << 20
+CACHE_ENTRIES = 1 << 19
 CHUNK_CHARS = 4 << 20
 #: Pre-tokens that go to the library in one text, a line each.
 LINES = 2048
 
 _encoders: dict[tuple, "Encoder"] = {}
+caches.register("encoders", _encoders.clear)
 
 
 def encoder(path: str, width: int = 0) -> "Encoder":
     """The encoder of this worker for a tokenizer file; lives as long as the worker."""
+    caches.claim("encoders")
     key = (path, width)
     if key not in _encoders:
         _encoders[key] = Encoder(path, width)

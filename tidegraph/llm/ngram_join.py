@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm import files
+from tidegraph.llm import caches, files
 from tidegraph.llm.components import components
 from tidegraph.llm.tables import checked, drop_ids
 from tidegraph.session import Scratch
@@ -40,7 +40,7 @@ BUCKET_BITS = 12
 FRAGMENTS = 4
 COUNT_CAP = 8  # what one chunk adds at most to a shingle's count; it orders shingles and decides nothing else
 CHUNK_SHINGLES = 3_000_000
-WORDS_CACHED = 1 << 20
+WORDS_CACHED = 1 << 19
 #: Members of one leader are dealt to one more task per so many.
 SALT_ROWS = 20_000
 #: Rounds in which one more leader of each unsettled group is compared, before all pairs that are left.
@@ -48,6 +48,7 @@ ROUNDS = 2
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 _word_hash: dict[bytes, int] = {}
+caches.register("ngram_join", lambda: (_word_hash.clear(), _orders.clear()))
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -59,6 +60,7 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_word_hash) > WORDS_CACHED:
         _word_hash.clear()
+    caches.claim("ngram_join")
     cache, digest = _word_hash, xxhash.xxh3_64_intdigest
     for w in words:
         if w not in cache:

@@ -25,14 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegraph.llm import files
+from tidegraph.llm import caches, files
 from tidegraph.llm.tables import checked
 from tidegraph.session import Scratch
 
 ORDER = 5
 PAD, STOP = "\x02", "\x03"
-WORDS_HELD = 400_000
-WORDS_CACHED = 1 << 20
+WORDS_HELD = 300_000
+WORDS_CACHED = 1 << 19
+CHUNK_CHARS = 2 << 20
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SPREAD, FLOOR, BIN = 8.0, 0.5, 0.01
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -80,13 +81,15 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(part), "gram": part, "n": pa.array([grams[g] for g in part], pa.int64())})
 
     def count(batches):
+        caches.claim("quality")
         held: dict[str, Counter] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if text:
                     held.setdefault(lang, Counter()).update(text.encode("utf-8", "surrogatepass").split())
-                    if len(held[lang]) > WORDS_HELD:
-                        yield from spell({lang: held.pop(lang)})
+                    if sum(map(len, held.values())) > WORDS_HELD:
+                        largest = max(held, key=lambda k: len(held[k]))
+                        yield from spell({largest: held.pop(largest)})
         yield from spell(held)
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(count, "lang string, gram string, n long")
@@ -229,12 +232,13 @@ class Scorer:
     def __init__(self, root: str) -> None:
         self.arrays, self.cache = Arrays(root), {}
 
-    def words(self, lang: str, words: list[bytes]) -> dict[bytes, float]:
+    def words(self, lang: str, words: set[bytes]) -> dict[bytes, float]:
         """The cache of a language, with these words in it."""
         cache = self.cache.setdefault(lang, {})
-        if len(cache) > WORDS_CACHED:
-            cache.clear()
-        new = [w for w in set(words) if w not in cache]
+        if sum(map(len, self.cache.values())) > WORDS_CACHED:
+            for c in self.cache.values():
+                c.clear()
+        new = list(words.difference(cache))
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
             cache.update(zip(part, self.log_probs(lang, part), strict=True))
@@ -270,9 +274,11 @@ class Scorer:
 
 
 _scorers: dict[str, Scorer] = {}
+caches.register("quality", _scorers.clear)
 
 
 def scorer(root: str) -> Scorer:
+    caches.claim("quality")
     if root not in _scorers:
         _scorers.clear()
         _scorers[root] = Scorer(root)
@@ -281,26 +287,27 @@ def scorer(root: str) -> Scorer:
 
 def measure(root: str, langs: list, texts: list) -> list[tuple]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_ppl of each text."""
-    own, rows = scorer(root), []
+    own, rows, start, chars = scorer(root), [], 0, 0
+    for i, t in enumerate(texts):
+        chars += len(t or "")
+        if chars > CHUNK_CHARS or i == len(texts) - 1:
+            rows += _measure(own, langs[start : i + 1], texts[start : i + 1])
+            start, chars = i + 1, 0
+    return rows
+
+
+def _measure(own: Scorer, langs: list, texts: list) -> list[tuple]:
     based = [base(t or "") for t in texts]
     by: dict[str, list[int]] = {}
     for i, la in enumerate(langs):
         by.setdefault(la or "und", []).append(i)
     score = [0.0] * len(texts)
     for la, at in by.items():
-        held, chunk = 0, []
-        for i in at:
-            chunk.append(i)
-            held += len(based[i][0])
-            if held > 1_000_000 or i == at[-1]:
-                cache = own.words(la, [w for k in chunk for w in based[k][0]])
-                for k in chunk:
-                    words = based[k][0]
-                    score[k] = -math.fsum(map(cache.__getitem__, words)) / (based[k][1] + len(words)) if words else 0.0
-                held, chunk = 0, []
-    for (words, chars, symbols, dup, repeat), s in zip(based, score, strict=True):
-        rows.append((len(words), chars, symbols, dup, repeat, s))
-    return rows
+        cache = own.words(la, set().union(*(based[k][0] for k in at)))
+        for k in at:
+            words = based[k][0]
+            score[k] = -math.fsum(map(cache.__getitem__, words)) / (based[k][1] + len(words)) if words else 0.0
+    return [(len(words), chars, symbols, dup, repeat, s) for (words, chars, symbols, dup, repeat), s in zip(based, score, strict=True)]
 
 
 def base_failed(n_words: int, repeat: int) -> bool:
