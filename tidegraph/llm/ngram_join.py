@@ -39,8 +39,8 @@ WIDTH, PERCENT = 5, 80
 BUCKET_BITS = 12
 FRAGMENTS = 4
 COUNT_CAP = 8  # what one chunk adds at most to a shingle's count; it orders shingles and decides nothing else
-CHUNK_SHINGLES = 3_000_000
-WORDS_CACHED = 1 << 19
+CHUNK_SHINGLES = 1_000_000
+WORDS_CACHED = 1 << 18
 #: Members of one leader are dealt to one more task per so many.
 SALT_ROWS = 20_000
 #: Rounds in which one more leader of each unsettled group is compared, before all pairs that are left.
