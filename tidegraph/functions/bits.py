@@ -17,12 +17,9 @@ def alive(sid: Column | int, snap_a: str = "snap_a", snap_d: str = "snap_d") ->
 def bitmap(snapshots: int, snap_a: str = "snap_a", snap_d: str = "snap_d") -> Column:
     """Bit s is set when the edge lives in snapshot s, 0 <= s <= snapshots <= 62."""
     end = F.least(F.col(snap_d), F.lit(snapshots + 1))
-    one = F.lit(1).cast("long")
-    # shift counts are taken modulo 64, so an end of 63 still gives 2^63 whose wrapped difference is right
-    return F.when(
-        F.col(snap_a) < end,
-        F.call_function("shiftleft", one, end) - F.call_function("shiftleft", one, F.col(snap_a)),
-    ).otherwise(F.lit(0).cast("long"))
+    # as many low ones as snapshots in the lifetime (1..63), moved up; a difference of powers would overflow at bit 62
+    ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.lit(64) - (end - F.col(snap_a)))
+    return F.when(F.col(snap_a) < end, F.call_function("shiftleft", ones, F.col(snap_a))).otherwise(F.lit(0).cast("long"))
 
 
 def bit_alive(sid: Column | int, mask: str = "bitmap") -> Column:
