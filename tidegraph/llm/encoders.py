@@ -20,6 +20,8 @@ SPLIT = re.compile(rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{L
 UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u00b1\\u00b4-\\u00b8\\u00ba\\u00bb\\u00bf-\\u024f\\u2010-\\u2027\\u2030-\\u203a\\u20ac]")
 #: Pre-tokens that a worker keeps beside the broadcast table.
 CACHE_ENTRIES = 1 << 19
+#: Characters that those pre-tokens have at most, besides one chunk's.
+CACHE_CHARS = 1 << 24
 CHUNK_CHARS = 4 << 20
 #: Pre-tokens that go to the library in one text, a line each.
 LINES = 2048
@@ -44,6 +46,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.path, self.width = path, width
         self.cache: dict[str, int | bytes] = {}
+        self.held = 0
         self.base: dict[str, int | bytes] = {}
         self.special: list[str] = []
         self.split = False
@@ -124,10 +127,11 @@ class Encoder:
 
     def _chunk(self, texts: list[str]) -> list:
         cut = [self.pieces(t) for t in texts]
-        if len(self.cache) > CACHE_ENTRIES + len(self.base):
-            self.cache = dict(self.base)
+        if len(self.cache) > CACHE_ENTRIES + len(self.base) or self.held > CACHE_CHARS:
+            self.cache, self.held = dict(self.base), 0
         cache = self.cache
         new = list(set().union(*(c for c in cut if c)).difference(cache))
+        self.held += sum(map(len, new))
         for at in range(0, len(new), LINES):
             part = new[at : at + LINES]
             cache.update(zip(part, self._lines(part), strict=True))

@@ -3,7 +3,8 @@
 Tier one is a broadcast table of the lengths of frequent pre-tokens; tier two is a cache in each
 worker, filled by encoding what misses. Pre-tokens are never shuffled: the frequent ones are found with
 bounded heavy-hitter summaries, one per partition over all of its texts, that merge in a tree.
-The table has at most ``entries`` entries, whatever the input's size, and never changes a count.
+The table has at most ``entries`` entries of PIECE_CHARS characters, about 2 MB whatever the input is, and
+never changes a count.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); repeated rows are counted each;
 an empty table gives an empty result; special strings inside texts are encoded as the library does by default.
@@ -21,6 +22,8 @@ from tidegraph.llm.encoders import encoder
 ENTRIES = 8192
 #: Counters a summary holds while it runs; the smaller half goes when they are full.
 HELD = 1 << 17
+#: Longer pre-tokens never enter the table.
+PIECE_CHARS = 64
 FAN_IN = 32
 
 
@@ -47,7 +50,7 @@ def frequent(docs: DataFrame, path: str, entries: int = ENTRIES) -> list[tuple[s
         for b in batches:
             for t in b.column(0).to_pylist():
                 for p in (enc.pieces(t) if t else None) or ():
-                    if "\0" not in p:
+                    if len(p) <= PIECE_CHARS and "\0" not in p:
                         held[p] += 1
                 if len(held) > HELD:
                     held = Counter(dict(held.most_common(HELD // 2)))
