@@ -12,9 +12,11 @@
 4. Candidates. In each posting group all nodes are compared with one leader, the node whose shingles are
    repeated most (the text that others were copied from, if it is there). A link between two nodes of a
    group that both link to its leader adds nothing to the components; any other link has an end that does not
-   link to the leader, so those nodes are compared with the rest of their group, except what
-   the triangle inequality of the Jaccard distance and the set sizes exclude: first with the leader
-   of those nodes, again and again for ROUNDS rounds as components merge, and then with all that is left. No link between components is lost,
+   link to the leader, so those nodes are compared with the rest of their group: first with the leader
+   of those nodes, again and again for ROUNDS rounds as components merge, and then with all that is left.
+   Pairs that cannot link by bounds that never err are not compared: set sizes, the positions of the shared
+   shingle in both orders, the triangle inequality of the Jaccard distance, and parity bitmaps of the sets
+   (two sets differ in at least as many elements as their bitmaps in bits). No link between components is lost,
    and a group of near copies costs one comparison per member.
 
 Defined cases: null text, or text without words, gives an empty set, linked with nothing; fewer words than
@@ -45,6 +47,8 @@ WORDS_CACHED = 1 << 18
 SALT_ROWS = 20_000
 #: Rounds in which one more leader of each unsettled group is compared, before all pairs that are left.
 ROUNDS = 2
+#: 64-bit words of the parity bitmap of a set.
+SIG_WORDS = 8
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 _word_hash: dict[bytes, int] = {}
@@ -75,6 +79,12 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(out)
 
 
+def parity(s: np.ndarray) -> list[int]:
+    """Parity bitmap of a set: bit k tells whether an odd number of its hashes fall on k."""
+    odd = np.bincount(((s >> np.uint64(20)) % np.uint64(64 * SIG_WORDS)).astype(np.int64), minlength=64 * SIG_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def set_name(s: np.ndarray) -> int:
     """Signed 64-bit name of a set."""
     import xxhash
@@ -207,7 +217,7 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def nodes(docs: DataFrame, root: str, width: int = WIDTH, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
-    """doc_id, node, n (set size), mass (mean count of its shingles, in thousandths), posts (prefix shingles that occur elsewhere) and segs (repeated shingles by fragment; null without posts)."""
+    """doc_id, node, n (set size), mass (mean count of its shingles, in thousandths), posts (prefix shingles that occur elsewhere), places (their positions in the order), sig (parity bitmap) and segs (repeated shingles by fragment; null without posts)."""
 
     def flush(ids, sets):
         import pyarrow as pa
@@ -217,7 +227,7 @@ def nodes(docs: DataFrame, root: str, width: int = WIDTH, percent: int = PERCENT
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         unique, back = np.unique(flat, return_inverse=True)
         counts = own.counts(unique)[back]
-        posts, segs, names, mass = [], [], [], []
+        posts, places, sigs, segs, names, mass = [], [], [], [], [], []
         at = 0
         for s, n in zip(sets, sizes.tolist(), strict=True):
             c = counts[at : at + n]
@@ -226,15 +236,18 @@ def nodes(docs: DataFrame, root: str, width: int = WIDTH, percent: int = PERCENT
             mass.append(int(c.sum(dtype=np.int64) * 1000 // n) if n else 0)
             p = prefix_length(n, percent) if n else 0
             first = np.lexsort((s, c))[:p] if int((c == 1).sum()) < p else np.zeros(0, int)
-            first = first[c[first] > 1]
+            place = np.flatnonzero(c[first] > 1)
+            first = first[place]
             posts.append(s[first].view(np.int64).tolist())
+            places.append(place.tolist())
+            sigs.append(parity(s) if len(first) else None)
             if len(first):
                 rep = s[c > 1]
                 cut = np.searchsorted(rep, (np.arange(1, fragments, dtype=np.uint64) << np.uint64(61)) * np.uint64(8 // fragments))
                 segs.append([x.astype("<u8").tobytes() for x in np.split(rep, cut)])
             else:
                 segs.append(None)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mass, pa.int64()), pa.array(posts, pa.list_(pa.int64())), pa.array(segs, pa.list_(pa.binary()))], names=["doc_id", "node", "n", "mass", "posts", "segs"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mass, pa.int64()), pa.array(posts, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64())), pa.array(segs, pa.list_(pa.binary()))], names=["doc_id", "node", "n", "mass", "posts", "places", "sig", "segs"])
 
     def run(batches):
         for b in batches:
@@ -249,7 +262,7 @@ def nodes(docs: DataFrame, root: str, width: int = WIDTH, percent: int = PERCENT
             if ids:
                 yield flush(ids, sets)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, mass long, posts array<long>, segs array<binary>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, mass long, posts array<long>, places array<long>, sig array<long>, segs array<binary>")
 
 
 # --- 3. overlaps by fragment -----------------------------------------------------------------------
@@ -306,24 +319,39 @@ def verified(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, scratch: S
 # --- 4. candidates and components -------------------------------------------------------------------
 
 
+def _may_link(x: str, y: str, percent: int):
+    """False only for pairs that cannot link: by set sizes, or by the parity bitmaps. x, y: suffixes of columns n_ and b0_ to b7_."""
+    nx, ny = F.col(f"n_{x}"), F.col(f"n_{y}")
+    differ = sum((F.bit_count(F.col(f"b{k}_{x}").bitwiseXOR(F.col(f"b{k}_{y}"))) for k in range(1, SIG_WORDS)), F.bit_count(F.col(f"b0_{x}").bitwiseXOR(F.col(f"b0_{y}"))))
+    return (nx * 100 >= ny * percent) & (ny * 100 >= nx * percent) & (differ * (100 + percent) <= (nx + ny) * (100 - percent))
+
+
+def _marks(marks: DataFrame, at: str) -> DataFrame:
+    return marks.select(F.col("node").alias(at), *(F.col(c).alias(f"{c}_{at}") for c in marks.columns if c != "node"))
+
+
 def links(rows: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """(a, b): links between nodes that connect all nodes of a component. rows: the table of nodes()."""
     live = rows.where(F.col("segs").isNotNull())
     segments = live.select("node", F.posexplode("segs").alias("frag", "seg")).groupBy("node", "frag").agg(F.first("seg").alias("seg"))
     segments = scratch.cut(segments, "segments")
-    sizes = scratch.cut(live.groupBy("node").agg(F.first("n").alias("n")), "sizes")
-    posts = live.select(F.explode("posts").alias("h"), "node", "mass")
+    marks = live.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    marks = scratch.cut(marks.select("node", "n", *(F.col("sig")[k].alias(f"b{k}") for k in range(SIG_WORDS))), "marks")
+    sizes = marks.select("node", "n")
+    posts = live.select(F.explode(F.arrays_zip("posts", "places")).alias("p"), "node", "mass").select(F.col("p.posts").alias("h"), F.col("p.places").alias("place"), "node", "mass")
     groups = posts.groupBy("h").agg(F.max(F.struct("mass", "node")).alias("top"), F.min("node").alias("first"), F.max("node").alias("last"))
     groups = scratch.cut(groups.where("first <> last").select("h", F.col("top.node").alias("lead")), "groups")
     # members of groups; equal sets fall together
     shared = scratch.cut(posts.join(groups, "h").distinct(), "members")
-    stars = shared.where("node <> lead").select("lead", "node").distinct()
-    done = verified(stars, segments, sizes, scratch, percent)
-    apart = done.where(~F.col("linked")).select("lead", "node")
+    stars = scratch.cut(shared.where("node <> lead").select("lead", "node").distinct(), "stars")
+    tried = stars.join(_marks(marks, "lead"), "lead").join(_marks(marks, "node"), "node").where(_may_link("lead", "node", percent)).select("lead", "node")
+    done = verified(tried, segments, sizes, scratch, percent)
+    apart = stars.join(done.where("linked"), ["lead", "node"], "left_anti")
     open_groups = scratch.cut(shared.join(apart, ["lead", "node"], "left_semi").select("h").distinct(), "open")
-    around = shared.join(open_groups, "h", "left_semi").join(done, ["lead", "node"], "left").join(sizes, "node")
-    around = around.select("h", "node", "mass", "n", F.coalesce("dist", F.lit(0.0)).alias("dist"), F.coalesce("linked", F.lit(True)).alias("near"))
-    around = scratch.cut(around, "around")
+    around = shared.join(open_groups, "h", "left_semi").join(done, ["lead", "node"], "left")
+    own = F.col("node") == F.col("lead")
+    around = around.select("h", "place", "node", "mass", own.alias("top"), F.when(own, 0.0).otherwise(F.col("dist")).alias("dist"), (own | F.coalesce("linked", F.lit(False))).alias("near"))
+    around = scratch.cut(around.join(marks, "node"), "around")
     for left in range(ROUNDS, -1, -1):
         comp = components(done.where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b")), scratch)
         more = scratch.cut(_across(around, comp, done, scratch, percent, all_pairs=not left), "across")
@@ -342,19 +370,21 @@ def _across(around: DataFrame, comp: DataFrame, done: DataFrame, scratch: Scratc
     rooted = around.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     spread = rooted.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("h")
     rooted = scratch.cut(rooted.join(spread, "h", "left_semi"), "rooted")
-    home = rooted.where("dist = 0 and near").groupBy("h").agg(F.first("root").alias("home"))
-    far = rooted.where(~F.col("near")).join(home, "h", "left").where("root <> home or home is null or not near")
+    far = rooted.where(~F.col("near"))
     if not all_pairs:
-        far = far.where("root <> home or home is null").groupBy("h").agg(F.max(F.struct("mass", "node", "dist", "root", "n")).alias("f")).select("h", "f.*")
-    a = far.select("h", F.col("node").alias("x"), F.col("dist").alias("dx"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-    b = rooted.select("h", F.col("node").alias("y"), F.col("dist").alias("dy"), F.col("root").alias("ry"), F.col("n").alias("ny"), "near")
-    once = F.lit(True) if not all_pairs else F.col("near") | (F.col("x") < F.col("y"))
+        home = rooted.where("top").groupBy("h").agg(F.first("root").alias("home"))
+        far = far.join(home, "h").where("root <> home").groupBy("h").agg(F.max(F.struct("mass", *(c for c in rooted.columns if c not in ("h", "mass")))).alias("f")).select("h", "f.*")
+    a = far.select("h", *(F.col(c).alias(f"{c}_x") for c in rooted.columns if c not in ("h", "mass", "top", "near")))
+    b = rooted.select("h", "near", *(F.col(c).alias(f"{c}_y") for c in rooted.columns if c not in ("h", "mass", "top", "near")))
+    once = F.lit(True) if not all_pairs else F.col("near") | (F.col("node_x") < F.col("node_y"))
+    apart = F.abs(F.col("dist_x") - F.col("dist_y")) > 1 - percent / 100 + 1e-9
+    # the first shingle that two sets share leaves room for as many as come after it in both
+    room = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
     pairs = a.join(b, "h").where(
-        once & (F.col("rx") != F.col("ry")) & (F.abs(F.col("dx") - F.col("dy")) <= 1 - percent / 100 + 1e-9)
-        & (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
+        once & (F.col("root_x") != F.col("root_y")) & ~F.coalesce(apart, F.lit(False)) & (room * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent) & _may_link("x", "y", percent)
     )
     seen = done.select(F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node"))
-    return pairs.select(F.least("x", "y").alias("lead"), F.greatest("x", "y").alias("node")).distinct().join(seen, ["lead", "node"], "left_anti")
+    return pairs.select(F.least("node_x", "node_y").alias("lead"), F.greatest("node_x", "node_y").alias("node")).distinct().join(seen, ["lead", "node"], "left_anti")
 
 
 def near_components(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
