@@ -71,7 +71,7 @@ def frequent(docs: DataFrame, path: str, entries: int = ENTRIES) -> list[tuple[s
         tasks = -(-tasks // FAN_IN)
         parts = parts.repartition(tasks).mapInArrow(join, kind)
     held = Counter()
-    for r in parts.toLocalIterator():  # at most FAN_IN summaries of bounded size
+    for r in parts.collect():  # at most FAN_IN summaries of bounded size, made by one job in parallel
         held.update(_unpack(r.pieces, bytes(r.counts)))
         held = Counter(dict(held.most_common(2 * entries)))
     return sorted(held.items(), key=lambda x: (-x[1], x[0]))[:entries]
