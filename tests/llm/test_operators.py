@@ -426,3 +426,14 @@ def test_pipeline_runs_on_the_smallest_tables(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 50
+
+
+def test_parity_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 60, 900):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))
+        for cut in (0, n // 10, n):
+            b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**63, cut + 1, dtype=np.int64).astype(np.uint64)]))
+            bits = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(ngram_join.parity(a), ngram_join.parity(b), strict=True))
+            assert bits <= len(np.setxor1d(a, b))
+    assert sum(x & (2**64 - 1) for x in ngram_join.parity(np.zeros(0, np.uint64))) == 0
