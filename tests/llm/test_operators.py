@@ -139,6 +139,21 @@ def test_bands_reject_outliers_and_keep_the_rest(spark):
     assert kept == set(range(40))
 
 
+def test_bands_reject_suffixed_and_table_documents(spark):
+    rng = random.Random(11)
+    text = lambda n: [rng.choice(VOCAB) for _ in range(n)]
+    rows = [(i, " ".join(text(rng.randint(60, 300))), "en", "s", 0) for i in range(150)]
+    rows += [(i, " ".join(w + rng.choice(("***", "&&&", "$$$")) for w in text(100)), "en", "s", 0) for i in range(200, 204)]
+    rows += [(i, " | ".join(text(100)), "en", "s", 0) for i in range(300, 303)]
+    rows += [(400, " ".join(text(70)), "xx", "s", 0)]  # a language of one document
+    rows += [(i, rows[0][1], "en", "s", 0) for i in range(500, 800)]  # copies do not narrow the band of the others
+    df = spark.createDataFrame(rows, DOCS)
+    kept = {r.doc_id for r in quality.keep(df, Scratch(spark, "t")).collect()}
+    assert not kept & {*range(200, 204), *range(300, 303)}
+    assert len(kept & set(range(1, 150))) >= 145 and 400 in kept
+    assert {r.doc_id for r in quality.quality(df, Scratch(spark, "t")).where("kept").collect()} == kept
+
+
 # --- 2, 3 --------------------------------------------------------------------------------------
 
 

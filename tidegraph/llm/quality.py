@@ -6,9 +6,11 @@ words, spells the distinct ones into 5-grams, and Spark sums the grams; continua
 come from grouped aggregation. Probabilities and back-off weights go to sorted hash arrays in the shared folder, which
 workers memory-map; nothing that grows with the corpus is broadcast or sent to the driver.
 
-A document is rejected if its log perplexity is outside the band of its language: the median plus or minus
-``spread`` robust deviations (1.4826 times the median absolute deviation), and at least ``floor`` either way.
-Median and deviation are read off an exact histogram with bins of 0.01.
+A document is rejected if one of two measures is outside the band of its language: log perplexity (per character), and
+the log of the nats per word, which shows symbols hung on words that the model knows too well to find them odd. A band is
+the median plus or minus ``spread`` robust deviations (1.4826 times the median absolute deviation), with no fixed width.
+Both are read off an exact histogram with bins of 0.001, where documents of equal score and number of words count once, so
+copies do not narrow a band; if more than half still share the median's bin, the deviation is that of the others.
 
 Defined cases: null text has no words and fails the base rules; a null lang is the language "und";
 repeated rows are counted and scored each; an empty table gives an empty result; extra columns are kept by keep().
@@ -35,7 +37,7 @@ WORDS_HELD = 300_000
 WORDS_CACHED = 1 << 19
 CHUNK_CHARS = 2 << 20
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-SPREAD, FLOOR, BIN = 8.0, 0.5, 0.01
+SPREAD, BIN = 4.0, 0.001
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -310,11 +312,16 @@ def _measure(own: Scorer, langs: list, texts: list) -> list[tuple]:
     return [(len(words), chars, symbols, dup, repeat, s) for (words, chars, symbols, dup, repeat), s in zip(based, score, strict=True)]
 
 
+def log_word(n_words: int, word_chars: int, log_ppl: float) -> float:
+    """Log of the nats per word."""
+    return math.log(max(log_ppl * (word_chars + n_words) / n_words, 1e-9)) if n_words else 0.0
+
+
 def base_failed(n_words: int, repeat: int) -> bool:
     return n_words < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n_words
 
 
-FIELDS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double, base_failed boolean"
+FIELDS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double, log_word double, base_failed boolean"
 
 
 def train(docs: DataFrame, scratch: Scratch) -> str:
@@ -329,29 +336,38 @@ def scores(docs: DataFrame, root: str) -> DataFrame:
             langs = b.column("lang").to_pylist()
             got = list(zip(*measure(root, langs, b.column("text").to_pylist()), strict=True)) or [()] * 6
             failed = [base_failed(n, r) for n, r in zip(got[0], got[4], strict=True)]
+            per_word = [log_word(n, c, s) for n, c, s in zip(got[0], got[1], got[5], strict=True)]
             ints = [pa.array(got[k], pa.int64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *ints, pa.array(got[5], pa.float64()), pa.array(failed, pa.bool_())], names=[x.split()[0] for x in FIELDS.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *ints, pa.array(got[5], pa.float64()), pa.array(per_word, pa.float64()), pa.array(failed, pa.bool_())], names=[x.split()[0] for x in FIELDS.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     return rows.mapInArrow(run, FIELDS)
 
 
-def bands(scored: DataFrame, scratch: Scratch, spread: float = SPREAD, floor: float = FLOOR) -> DataFrame:
-    """(band_lang, low, high) in log perplexity, from all documents that pass the base rules."""
-    bins = scored.where("not base_failed").groupBy("lang", F.floor(F.col("log_ppl") / BIN).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+def bands(scored: DataFrame, scratch: Scratch, spread: float = SPREAD) -> DataFrame:
+    """(band_lang, low, high, word_low, word_high): limits of log_ppl and log_word, from all documents that pass the base rules."""
+    rows = scored.where("not base_failed").select("lang", "n_words", "log_ppl", "log_word").dropDuplicates(["lang", "n_words", "log_ppl"])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.floor(F.col(c) / BIN).cast("long").alias("bin")) for c in ("log_ppl", "log_word")])).alias("x")
+    bins = rows.select("lang", each).groupBy("lang", "x.of", "x.bin").agg(F.count("*").alias("n"))
     bins = scratch.cut(bins, "bins")
 
     def median(df: DataFrame, value: str) -> DataFrame:
-        upto = F.sum("n").over(Window.partitionBy("lang").orderBy(value))
-        whole = F.sum("n").over(Window.partitionBy("lang"))
-        return df.withColumn("_u", upto).withColumn("_w", whole).where(F.col("_u") * 2 >= F.col("_w")).groupBy("lang").agg(F.min(value).alias("m"))
-
-    mid = scratch.cut(median(bins, "bin"), "median").withColumnRenamed("lang", "_l")
-    off = bins.join(mid, F.col("lang") == F.col("_l")).groupBy("lang", "m", F.abs(F.col("bin") - F.col("m")).alias("off")).agg(F.sum("n").alias("n"))
-    mad = median(off, "off").select(F.col("lang").alias("band_lang"), F.col("m").alias("mad"))
-    width = F.greatest(F.lit(spread * 1.4826) * F.col("mad") * BIN, F.lit(floor))
-    centre = (F.col("m") + 0.5) * BIN
-    return scratch.cut(mid.join(mad, F.col("_l") == F.col("band_lang")).select("band_lang", (centre - width).alias("low"), (centre + width).alias("high")), "bands")
+        upto = F.sum("n").over(Window.partitionBy("lang", "of").orderBy(value))
+        whole = F.sum("n").over(Window.partitionBy("lang", "of"))
+        return df.withColumn("_u", upto).withColumn("_w", whole).where(F.col("_u") * 2 >= F.col("_w")).groupBy("lang", "of").agg(F.min(value).alias("m"))
+
+    mid = scratch.cut(median(bins, "bin"), "median").withColumnRenamed("lang", "_l").withColumnRenamed("of", "_of")
+    off = bins.join(mid, (F.col("lang") == F.col("_l")) & (F.col("of") == F.col("_of"))).groupBy("lang", "of", "m", F.abs(F.col("bin") - F.col("m")).alias("off")).agg(F.sum("n").alias("n"))
+    off = scratch.cut(off, "off")
+    mad = median(off.drop("m"), "off").withColumnRenamed("m", "mad")
+    others = median(off.drop("m").where("off > 0"), "off").withColumnRenamed("m", "others")
+    centres = off.groupBy("lang", "of").agg(F.first("m").alias("m"))
+    wide = centres.join(mad, ["lang", "of"]).join(others, ["lang", "of"], "left")
+    dev = F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.coalesce("others", F.lit(0)))
+    width, centre = (dev * spread * 1.4826 + 1) * BIN, (F.col("m") + 0.5) * BIN
+    side = lambda c, x: F.max(F.when(F.col("of") == c, x))
+    limits = [side(c, x).alias(name) for c, x, name in (("log_ppl", centre - width, "low"), ("log_ppl", centre + width, "high"), ("log_word", centre - width, "word_low"), ("log_word", centre + width, "word_high"))]
+    return scratch.cut(wide.groupBy(F.col("lang").alias("band_lang")).agg(*limits), "bands")
 
 
 def judged(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str, DataFrame]:
@@ -360,7 +376,7 @@ def judged(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str, DataFrame
     scored = scratch.cut(scores(docs, root), "scores")
     limits = bands(scored, scratch)
     inside = scored.join(checked(limits), F.col("lang") == F.col("band_lang"), "left")
-    kept = ~F.col("base_failed") & F.col("log_ppl").between(F.col("low"), F.col("high"))
+    kept = ~F.col("base_failed") & F.col("log_ppl").between(F.col("low"), F.col("high")) & F.col("log_word").between(F.col("word_low"), F.col("word_high"))
     return inside.withColumn("kept", F.coalesce(kept, F.lit(False))).drop("band_lang"), root, limits
 
 
@@ -373,7 +389,7 @@ def quality(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def keep(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The documents that pass, with all their columns. Verdicts are taken again where the texts are, so no text is shuffled."""
     _, root, limits = judged(docs, scratch)
-    low_high = {r.band_lang: (r.low, r.high) for r in limits.toLocalIterator()}  # a row per language
+    low_high = {r.band_lang: (r.low, r.high, r.word_low, r.word_high) for r in limits.toLocalIterator()}  # a row per language
 
     def run(batches):
         import pyarrow as pa
@@ -381,9 +397,9 @@ def keep(docs: DataFrame, scratch: Scratch) -> DataFrame:
         for b in batches:
             langs = [x or "und" for x in b.column("lang").to_pylist()]
             ok = []
-            for la, (n, _, _, _, r, s) in zip(langs, measure(root, langs, b.column("text").to_pylist()), strict=True):
-                low, high = low_high.get(la, (0.0, -1.0))
-                ok.append(not base_failed(n, r) and low <= s <= high)
+            for la, (n, chars, _, _, r, s) in zip(langs, measure(root, langs, b.column("text").to_pylist()), strict=True):
+                low, high, word_low, word_high = low_high.get(la, (0.0, -1.0, 0.0, -1.0))
+                ok.append(not base_failed(n, r) and low <= s <= high and word_low <= log_word(n, chars, s) <= word_high)
             yield b.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
