@@ -154,6 +154,21 @@ def test_bands_reject_suffixed_and_table_documents(spark):
     assert {r.doc_id for r in quality.quality(df, Scratch(spark, "t")).where("kept").collect()} == kept
 
 
+@pytest.mark.parametrize("unnamed", [[""], ["", None]], ids=["empty", "both"])
+def test_an_empty_lang_is_und(spark, unnamed):
+    rng = random.Random(12)
+    text = lambda k: " ".join(rng.choice(VOCAB if k % 2 else [w[::-1] + "ska" for w in VOCAB]) for _ in range(80))
+    rows = [(k, text(k), "en" if k % 2 else unnamed[k // 2 % len(unnamed)], "s", 0) for k in range(80)]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, DOCS), Scratch(spark, "t")).collect()}
+    models = {la: brute_kneser_ney([t for _, t, x, *_ in rows if (x or "und") == la]) for la in ("en", "und")}
+    for i, t, la, *_ in rows:
+        want = math.exp(-sum(map(models[la or "und"], WORD.findall(t))) / (got[i].word_chars + got[i].n_words))
+        assert got[i].perplexity == pytest.approx(want, rel=1e-4)
+    assert sum(r.kept for r in got.values()) > 70
+    kept = quality.keep(spark.createDataFrame(rows, DOCS), Scratch(spark, "t")).collect()
+    assert {r.doc_id for r in kept} == {i for i, r in got.items() if r.kept} and {r.lang for r in kept} == {"en", *unnamed}
+
+
 # --- 2, 3 --------------------------------------------------------------------------------------
 
 

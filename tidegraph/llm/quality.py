@@ -12,7 +12,7 @@ the median plus or minus ``spread`` robust deviations (1.4826 times the median a
 Both are read off an exact histogram with bins of 0.001, where documents of equal score and number of words count once, so
 copies do not narrow a band; if more than half still share the median's bin, the deviation is that of the others.
 
-Defined cases: null text has no words and fails the base rules; a null lang is the language "und";
+Defined cases: null text has no words and fails the base rules; a null or empty lang is the language "und";
 repeated rows are counted and scored each; an empty table gives an empty result; extra columns are kept by keep().
 """
 
@@ -23,7 +23,7 @@ import math
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -62,6 +62,11 @@ def base(text: str) -> tuple[list[bytes], int, int, int, int]:
     return words, word_chars, symbols, len(lines) - len(set(lines)), repeat
 
 
+def language() -> Column:
+    """The declared language of a document."""
+    return F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("und")).alias("lang")
+
+
 # --- counting -----------------------------------------------------------------------------------
 
 
@@ -94,7 +99,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                         yield from spell({largest: held.pop(largest)})
         yield from spell(held)
 
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(count, "lang string, gram string, n long")
+    rows = docs.select(language(), "text").mapInArrow(count, "lang string, gram string, n long")
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -302,7 +307,7 @@ def _measure(own: Scorer, langs: list, texts: list) -> list[tuple]:
     based = [base(t or "") for t in texts]
     by: dict[str, list[int]] = {}
     for i, la in enumerate(langs):
-        by.setdefault(la or "und", []).append(i)
+        by.setdefault(la, []).append(i)
     score = [0.0] * len(texts)
     for la, at in by.items():
         cache = own.words(la, set().union(*(based[k][0] for k in at)))
@@ -340,7 +345,7 @@ def scores(docs: DataFrame, root: str) -> DataFrame:
             ints = [pa.array(got[k], pa.int64()) for k in range(5)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *ints, pa.array(got[5], pa.float64()), pa.array(per_word, pa.float64()), pa.array(failed, pa.bool_())], names=[x.split()[0] for x in FIELDS.split(", ")])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language(), "text")
     return rows.mapInArrow(run, FIELDS)
 
 
@@ -389,17 +394,18 @@ def quality(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def keep(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The documents that pass, with all their columns. Verdicts are taken again where the texts are, so no text is shuffled."""
     _, root, limits = judged(docs, scratch)
+    columns = docs.columns
     low_high = {r.band_lang: (r.low, r.high, r.word_low, r.word_high) for r in limits.toLocalIterator()}  # a row per language
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            langs = [x or "und" for x in b.column("lang").to_pylist()]
+            langs = b.column("_lang").to_pylist()
             ok = []
             for la, (n, chars, _, _, r, s) in zip(langs, measure(root, langs, b.column("text").to_pylist()), strict=True):
                 low, high, word_low, word_high = low_high.get(la, (0.0, -1.0, 0.0, -1.0))
                 ok.append(not base_failed(n, r) and low <= s <= high and word_low <= log_word(n, chars, s) <= word_high)
-            yield b.filter(pa.array(ok, pa.bool_()))
+            yield b.select(columns).filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.withColumn("_lang", language()).mapInArrow(run, docs.schema)
