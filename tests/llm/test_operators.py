@@ -421,6 +421,35 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.toxicity(df.limit(0), lab).count() == 0
 
 
+def test_label_model_counts_every_pattern_as_cast(spark):
+    rng = random.Random(14)
+    V = toxicity.VOTERS
+    voter = {f"term{k}": k for k in range(18)}
+    texts = [" ".join(f"term{k}" for k in range(18) if mask >> k & 1) or "none" for mask in rng.sample(range(1 << 18), 26_000)]
+    want = Counter(toxicity.votes(t, voter, {}) for t in texts)
+    assert len(want) > 25_000
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    counts = Scratch(spark, "t").cut(toxicity.vote_counts(df, voter), "patterns")
+    assert {r.pattern: r.n for r in counts.collect()} == want
+    model = toxicity.LabelModel(counts, 0.1, rounds=2)
+    # the same in one place, over all patterns
+    v = np.array([[p // 3**i % 3 for i in range(V)] for p in want])
+    n, ones = np.array(list(want.values()), float), (v == 1).sum(1)
+    post = np.where(ones >= 2, 0.95, np.where(ones == 1, 0.5, 0.02))
+    for parent in ([-1] * V, model.parent):
+        up = np.stack([v[:, p] if p >= 0 else 0 * v[:, 0] for p in parent], axis=1)
+        for _ in range(2):
+            table = np.full((V, 2, 3, 3), 0.1)
+            for y, w in ((0, n * (1 - post)), (1, n * post)):
+                for j in range(V):
+                    np.add.at(table[j, y], (up[:, j], v[:, j]), w)
+            table /= table.sum(-1, keepdims=True)
+            ll = [np.log(table[np.arange(V), y, up, v]).sum(1) for y in (0, 1)]
+            post = 1 / (1 + np.exp(-np.clip(np.log(0.1 / 0.9) + ll[1] - ll[0], -30, 30)))
+    assert np.allclose(model.table, table, rtol=1e-8)
+    assert np.allclose(model.posterior(list(want)), post, rtol=1e-6)
+
+
 # --- 10 -----------------------------------------------------------------------------------------------
 
 

@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.session import Scratch
+
 #: Common English insults.
 INSULTS = ("idiot", "moron", "scum", "stupid", "trash", "loser", "worthless", "pathetic", "disgusting", "clown", "imbecile", "filth", "vermin", "retard", "bastard")
 TOKEN = re.compile(r"[^\W_]+")
@@ -142,9 +144,8 @@ def votes(text: str, voter: dict[str, int], seen: dict) -> int:
     return sum(x * 3**i for i, x in enumerate(v))
 
 
-def vote_counts(docs: DataFrame, voter: dict[str, int]) -> Counter:
-    """Training documents by vote pattern. Patterns that differ only in rare combinations stay apart;
-    they are pre-aggregated in each task and counted by the shuffle."""
+def vote_counts(docs: DataFrame, voter: dict[str, int]) -> DataFrame:
+    """(pattern, n): training documents by vote pattern, pre-aggregated in each task and counted by the shuffle."""
 
     def cast(batches):
         import pyarrow as pa
@@ -156,31 +157,12 @@ def vote_counts(docs: DataFrame, voter: dict[str, int]) -> Counter:
             yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(held), pa.int64()), "n": pa.array(list(held.values()), pa.int64())})
 
     train = docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).select("text")
-    counts = train.mapInArrow(cast, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    # The label model reads moments, so the most frequent patterns are taken one by one up to the bound and the others by
-    # their number of toxic votes: all documents count, and what reaches the driver is bounded.
-    return Counter({r.pattern: r.n for r in _bounded(counts).toLocalIterator()})
+    return train.mapInArrow(cast, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
-PATTERNS = 20_000
 ANCHOR = 5.0
 
 
-def _bounded(counts: DataFrame) -> DataFrame:
-    from functools import reduce
-
-    from pyspark.sql.window import Window
-
-    if counts.count() <= PATTERNS:
-        return counts
-    digit = [F.floor(F.col("pattern") / F.lit(3**i)).cast("long") % 3 for i in range(VOTERS)]
-    ones = reduce(lambda a, b: a + b, [F.when(d == 1, 1).otherwise(0) for d in digit])
-    bucket = F.hash("pattern") % (PATTERNS // (2 * VOTERS))
-    keyed = counts.withColumn("ones", ones).withColumn("bucket", bucket)
-    best = keyed.groupBy("ones", "bucket").agg(F.max_by("pattern", F.struct("n", "pattern")).alias("pattern"), F.sum("n").alias("n"))
-    return best.select("pattern", "n")
-
-
 def known_votes(sampled: DataFrame, voter: dict[str, int]) -> Counter:
     """Sampled rows by (pattern, label)."""
 
@@ -197,52 +179,95 @@ def known_votes(sampled: DataFrame, voter: dict[str, int]) -> Counter:
     return Counter({(r.pattern, min(1, r.y)): r.n for r in rows})
 
 
+def digits(patterns) -> np.ndarray:
+    """A row of votes for each pattern."""
+    return np.asarray(patterns, np.int64).reshape(-1, 1) // 3 ** np.arange(VOTERS, dtype=np.int64) % 3
+
+
+def above(v: np.ndarray, parent: list[int]) -> np.ndarray:
+    """The votes of the parent voters; 0 without a parent."""
+    return np.stack([v[:, p] if p >= 0 else np.zeros(len(v), int) for p in parent], axis=1)
+
+
+def expected(v: np.ndarray, table: np.ndarray | None, parent: list[int], prior: float) -> np.ndarray:
+    """P(toxic) of rows of votes; without a table, a first guess by the number of toxic votes."""
+    if table is None:
+        ones = (v == 1).sum(1)
+        return np.where(ones >= 2, 0.95, np.where(ones == 1, 0.5, 0.02))
+    up, cols = above(v, parent), np.arange(VOTERS)
+    ll = [np.log(table[cols, y, up, v]).sum(1) for y in (0, 1)]
+    return 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + ll[1] - ll[0], -30, 30)))
+
+
+def by_parent(v: np.ndarray, weights: tuple[np.ndarray, np.ndarray], parent: list[int]) -> np.ndarray:
+    """Weight by voter, label, parent's vote and vote."""
+    up, cols = above(v, parent), np.arange(VOTERS)
+    out = [np.bincount(((cols * 3 + up) * 3 + v).ravel(), np.repeat(w, VOTERS), VOTERS * 9).reshape(VOTERS, 3, 3) for w in weights]
+    return np.stack(out, axis=1)
+
+
+def by_pair(v: np.ndarray, weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Weight by label, voter, its vote, other voter and its vote."""
+    one = (v[:, :, None] == np.arange(3)).reshape(len(v), -1).astype(float)
+    return np.stack([(one.T @ (one * w[:, None])).reshape(VOTERS, 3, VOTERS, 3) for w in weights])
+
+
 class LabelModel:
-    """P(label) and P(vote | label, vote of the parent voter), by expectation maximisation."""
+    """P(label) and P(vote | label, vote of the parent voter), by expectation maximisation.
+
+    Every round is a Spark job over all patterns; what reaches the driver is a table of sums from each task,
+    of VOTERS x 2 x 3 x 3 or, once, VOTERS x VOTERS x 2 x 3 x 3 numbers, whatever the number of patterns.
+    """
 
-    def __init__(self, counts: Counter, prior: float, known: Counter | None = None, rounds: int = 30) -> None:
-        """known: labelled training documents by (pattern, label); they anchor the two labels, each with the weight ANCHOR."""
+    def __init__(self, counts: DataFrame, prior: float, known: Counter | None = None, rounds: int = 30) -> None:
+        """counts: (pattern, n), cheap to read again. known: labelled training documents by (pattern, label); they anchor the two labels, each with the weight ANCHOR."""
         known = known or Counter()
-        pats = sorted(counts.keys() | {p for p, _ in known})
-        self.v = np.array([[p // 3**i % 3 for i in range(VOTERS)] for p in pats], dtype=int).reshape(len(pats), VOTERS)
-        self.n = np.array([counts[p] for p in pats], dtype=float)
-        self.anchor = ANCHOR * np.array([[known[p, y] for p in pats] for y in (0, 1)], dtype=float).reshape(2, len(pats))
-        ones = (self.v == 1).sum(1)
-        self.post = np.where(ones >= 2, 0.95, np.where(ones == 1, 0.5, 0.02)) if len(pats) else np.zeros(0)
-        self.prior, self.parent = prior, [-1] * VOTERS
-        if len(pats):
+        pats = sorted({p for p, _ in known})
+        self.counts, self.known = counts, digits(pats)
+        self.anchor = tuple(ANCHOR * np.array([known[p, y] for p in pats], dtype=float) for y in (0, 1))
+        self.prior, self.parent, self.table = prior, [-1] * VOTERS, None
+        if pats or not counts.isEmpty():
             self._fit(rounds)
             self.parent = self._tree()
-            self._fit(rounds)
+            self._fit(rounds, [-1] * VOTERS)
+
+    def _sums(self, reduce, size: int, parent: list[int]) -> np.ndarray:
+        """The sum over tasks of reduce(votes, weights by label); parent: of the table that gives the expectations."""
+        table, prior = self.table, self.prior
+
+        def run(batches):
+            import pyarrow as pa
+
+            out = np.zeros(size)
+            for b in batches:
+                v, n = digits(b.column(0).to_numpy()), b.column(1).to_numpy().astype(float)
+                post = expected(v, table, parent, prior)
+                out += reduce(v, (n * (1 - post), n * post)).ravel()
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([out.tolist()], pa.list_(pa.float64()))})
+
+        return sum((np.array(r.sums) for r in self.counts.select("pattern", "n").mapInArrow(run, "sums array<double>").collect()), np.zeros(size))
 
-    def _above(self) -> np.ndarray:
-        return np.stack([self.v[:, p] if p >= 0 else np.zeros(len(self.v), int) for p in self.parent], axis=1)
-
-    def _fit(self, rounds: int) -> None:
-        up, cols = self._above(), np.arange(VOTERS)
-        for _ in range(rounds):
-            table = np.full((VOTERS, 2, 3, 3), 0.1)  # voter, label, parent's vote, vote
-            for y, w in ((0, self.n * (1 - self.post) + self.anchor[0]), (1, self.n * self.post + self.anchor[1])):
-                for j in cols:
-                    np.add.at(table[j, y], (up[:, j], self.v[:, j]), w)
-            table /= table.sum(-1, keepdims=True)
-            ll = [np.log(table[cols, y, up, self.v]).sum(1) for y in (0, 1)]
-            logit = np.log(self.prior / (1 - self.prior)) + ll[1] - ll[0]
-            self.post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        self.table = table
+    def _fit(self, rounds: int, before: list[int] | None = None) -> None:
+        """before: parents of the table that the first round starts from."""
+        parent = self.parent
+        anchored = by_parent(self.known, self.anchor, parent)
+        for k in range(rounds):
+            sums = self._sums(lambda v, w: by_parent(v, w, parent), VOTERS * 18, before if before and not k else parent)
+            table = 0.1 + sums.reshape(VOTERS, 2, 3, 3) + anchored
+            self.table = table / table.sum(-1, keepdims=True)
 
     def _tree(self) -> list[int]:
         """Parents in the maximum spanning tree of the voters' mutual information given the label."""
-        total = self.n.sum()
+        pairs = self._sums(by_pair, 2 * (VOTERS * 3) ** 2, self.parent).reshape(2, VOTERS, 3, VOTERS, 3)
+        total = pairs[:, 0, :, 0].sum()
         gain = np.zeros((VOTERS, VOTERS))
-        for y, w in ((0, self.n * (1 - self.post)), (1, self.n * self.post)):
+        for y in (0, 1):
             for a in range(VOTERS):
                 for b in range(a):
-                    joint = np.full((3, 3), 1e-6)
-                    np.add.at(joint, (self.v[:, a], self.v[:, b]), w)
+                    joint = pairs[y, a, :, b] + 1e-6
                     mass = joint.sum()
                     p = joint / mass
-                    gain[a, b] += mass / total * (p * np.log(p / np.outer(p.sum(1), p.sum(0)))).sum()
+                    gain[a, b] += mass / max(total, 1e-9) * (p * np.log(p / np.outer(p.sum(1), p.sum(0)))).sum()
         gain += gain.T
         parent, inside = [-1] * VOTERS, {0}
         while len(inside) < VOTERS:
@@ -253,22 +278,15 @@ class LabelModel:
 
     def posterior(self, patterns: list[int]) -> np.ndarray:
         """P(toxic) of vote patterns, counted before or not."""
-        if not len(self.n):
+        if self.table is None:
             return np.full(len(patterns), self.prior)
-        own = LabelModel.__new__(LabelModel)
-        own.v = np.array([[p // 3**i % 3 for i in range(VOTERS)] for p in patterns], dtype=int).reshape(len(patterns), VOTERS)
-        own.parent, cols = self.parent, np.arange(VOTERS)
-        up = own._above()
-        ll = [np.log(self.table[cols, y, up, own.v]).sum(1) for y in (0, 1)]
-        return 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + ll[1] - ll[0], -30, 30)))
+        return expected(digits(patterns), self.table, self.parent, self.prior)
 
     def accuracies(self) -> list[float]:
         """Expected share of right votes among the votes of each voter."""
-        out = []
-        for j in range(VOTERS):
-            right = (self.n * np.where(self.v[:, j] == 1, self.post, 1 - self.post))[self.v[:, j] > 0].sum()
-            out.append(float(right / max(self.n[self.v[:, j] > 0].sum(), 1e-9)))
-        return out
+        parent = self.parent
+        by = self._sums(lambda v, w: by_parent(v, w, parent), VOTERS * 18, parent).reshape(VOTERS, 2, 3, 3).sum(2)
+        return [float((x[1, 1] + x[0, 2]) / max(x[:, 1:].sum(), 1e-9)) for x in by]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, terms: int = TERMS, epochs: int = 300) -> tuple[Model, LabelModel]:
@@ -277,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, te
     mined = mine(sampled, terms)
     voter = make_voters(mined, n1, n0)
     prior = min(0.5, max(0.01, (n1 + 1) / (n1 + n0 + 10)))
-    label_model = LabelModel(vote_counts(docs, voter), prior, known_votes(sampled, voter))
+    label_model = LabelModel(Scratch(docs.sparkSession, "votes").cut(vote_counts(docs, voter), "patterns"), prior, known_votes(sampled, voter))
     names = list(dict.fromkeys([*INSULTS, *(t for t, _, _ in mined)]))
     model = Model({t: i for i, t in enumerate(names)}, np.zeros(len(names)), 0.0)
 
