@@ -3,30 +3,42 @@
 Texts are lower-cased and cut into words of letters and digits. At each word of a document, each fixed
 mask hashes the words it selects and ignores the others, so a seed still hits when ignored words were
 substituted. Seeds of documents are joined with those of benchmark items. A hit fixes how the item lies on the document;
-there the two word sequences are compared position by position, and the pair counts if in some stretch of
-``window`` words (or the whole item, if shorter) at least ``share`` of the words agree.
+alignments are made distinct, and then the two word sequences are compared once for each, position by position, in time
+linear in the item: the pair counts if in some stretch of ``window`` words (or the whole item, if shorter) at least
+``share`` of the words agree. Items of fewer than ``EXACT`` words must agree as a whole.
 
-The seeds of the benchmark are broadcast in blocks of at most ``BLOCK_SEEDS`` rows; a larger benchmark takes more
-passes, never a larger broadcast. Documents are not shuffled: what leaves the scan are verified hits.
+Masks by the words of an item: up to 9, one for every choice of words that may differ, so nothing that counts is missed;
+10 to 13, ``MIDDLE``; from 14, ``MASKS``. With as many random substitutions as ``share`` allows the last two find 0.99 and 0.97
+of the alignments at least (the worst lengths, 10 and 14 words); fewer substitutions are missed more rarely.
 
-Defined cases: null or empty texts hit nothing; items with fewer words than the shortest mask spans are looked for as a whole,
-without substitutions; repeated rows and rows that share a doc_id or item_id give one pair each;
-null doc_ids and item_ids are left out of the pairs; empty tables give an empty result.
+The seeds of the benchmark are broadcast in blocks of about ``BLOCK_SEEDS`` rows, dealt by their hash, so a long item
+is spread over blocks; a larger benchmark takes more passes, never a larger broadcast. Texts are not shuffled, but for one copy of
+each different text with a hit. Equal texts are compared once.
+
+Defined cases: null or empty texts hit nothing; a text of any length costs time and memory in proportion to its words;
+repeated rows and rows that share a doc_id or item_id give one pair for each two ids; null doc_ids and item_ids are left out of the pairs,
+but rows with them are checked like all others by clean(); empty tables give an empty result; extra columns, of any name, are kept by clean().
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.tables import drop_ids
+from tidegraph.llm.tables import checked, content_key, drop_rows
 from tidegraph.session import Scratch
 
-#: Masks over ten words; 1 is hashed, 0 ignored.
-MASKS = ("111111", "11011011", "1101010101", "1010011101")
-SPAN = max(map(len, MASKS))
+#: Masks; 1 is hashed, 0 ignored.
+MASKS = ("11111", "1110011", "10100111", "1011000011")
+MIDDLE = ("1111", "11011", "101101", "1100101", "10010011", "1010001011")
+#: Items from so many words use MASKS, and from so many MIDDLE.
+LONG, SHORT = 14, 10
+#: Items of fewer words are looked for without substitutions.
+EXACT = 6
 BLOCK_SEEDS = 500_000
 WINDOW, SHARE = 20, 0.7
 
@@ -40,88 +52,117 @@ def word_hashes(text: str = "text") -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def _positions(df: DataFrame) -> DataFrame:
-    """One row per word with the SPAN hashes that start there as columns c0..c9 (null beyond the end)."""
-    shifted = [F.col("h").alias("c0")] + [F.slice("h", k + 1, F.greatest(F.size("h"), F.lit(1))).alias(f"c{k}") for k in range(1, SPAN)]
-    return df.select(*df.columns, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "s"))
+def needed(n: int, window: int = WINDOW, share: float = SHARE) -> int:
+    """Words that must agree in the best stretch of an item of n words."""
+    return n if n < EXACT else math.ceil(share * min(n, window) - 1e-9)
+
+
+def placed(n: int, share: float = SHARE) -> list[tuple[str, int]]:
+    """(mask, its first word in the item) of a short item: every choice of the words that may differ, without ignored ends."""
+    free, out = n - needed(n, n, share), []
+    for gone in combinations(range(n), free):
+        mask = "".join("0" if i in gone else "1" for i in range(n))
+        out.append((mask.strip("0"), n - len(mask.lstrip("0"))))
+    return sorted(set(out))
+
+
+def seed_plan(lengths: list[int], share: float = SHARE) -> dict[str, Column]:
+    """The masks that items of these lengths need (LONG stands for all longer ones), and where an item (n, pos) has a seed of each."""
+    n, pos, out = F.col("n"), F.col("pos"), {}
+
+    def allow(mask: str, where: Column) -> None:
+        out[mask] = out[mask] | where if mask in out else where
 
+    for length in sorted(lengths):
+        if length >= LONG:
+            for m in MASKS:
+                allow(m, n >= LONG)
+        elif length >= SHORT:
+            for m in MIDDLE:
+                allow(m, n == length)
+        else:
+            for m, at in placed(length, share):
+                allow(m, (n == length) & (pos == at))
+    return out
 
-def _seed(k: int, mask: str) -> Column:
+
+def _positions(df: DataFrame, span: int) -> DataFrame:
+    """A row for each word: columns of df but h, pos, and s with the span hashes that start there as c0, c1, .. (null beyond the end)."""
+    shifted = [F.col("h").alias("c0")] + [F.slice("h", k + 1, F.greatest(F.size("h"), F.lit(1))).alias(f"c{k}") for k in range(1, span)]
+    return df.select(*(c for c in df.columns if c != "h"), F.posexplode(F.arrays_zip(*shifted)).alias("pos", "s"))
+
+
+def _seed(mask: str) -> Column:
     picked = [F.col(f"s.c{i}") for i, m in enumerate(mask) if m == "1"]
-    return F.when(picked[-1].isNotNull(), F.xxhash64(F.lit(k), *picked))
+    return F.when(picked[-1].isNotNull(), F.xxhash64(F.lit(mask), *picked))
 
 
-def seeds(df: DataFrame) -> DataFrame:
-    """Columns of df, pos and seed: a row for each word and mask that fits."""
-    each = F.explode(F.array(*[_seed(k, m) for k, m in enumerate(MASKS)])).alias("seed")
-    return _positions(df).select(*df.columns, "pos", each).where(F.col("seed").isNotNull())
+def seeds(df: DataFrame, masks: dict[str, Column | None]) -> DataFrame:
+    """Columns of df but h, pos and seed: a row for each word and mask that fits, and where its condition holds."""
+    each = [_seed(m) if where is None else F.when(where, _seed(m)) for m, where in masks.items()]
+    at = _positions(df, max(map(len, masks)))
+    return at.select(*(c for c in at.columns if c != "s"), F.explode(F.array(*each)).alias("seed")).where(F.col("seed").isNotNull())
 
 
 def agreement(item: Column, region: Column, window: int) -> Column:
-    """The most words that agree in a stretch of ``window`` aligned positions."""
+    """The most words that agree in a stretch of ``window`` aligned positions (all, if there are fewer); one pass."""
     same = F.zip_with(item, region, lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
-    upto = F.aggregate(same, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    n, w = F.size(item), F.least(F.size(item), F.lit(window))
-    return F.transform(F.array(upto), lambda p: F.array_max(F.transform(F.sequence(F.lit(1), n - w + 1), lambda i: F.element_at(p, i + w) - F.element_at(p, i))))[0]
-
-
-def hits(docs: DataFrame, seed_rows: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, doc_pos, n_matched, n_item_words) of verified alignments."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes().alias("h")).where("doc_id is not null")
-    s = F.broadcast(seed_rows.select("item_id", "item_pos", "n", F.col("seed").alias("item_seed")))
-    found = seeds(rows).join(s, F.col("seed") == F.col("item_seed"))
-    # the item would start at word pos - item_pos; words before the document's first are missing
-    start = F.col("pos") - F.col("item_pos")
-    missing = F.greatest(-start, F.lit(0))
-    region = F.concat(F.array_repeat(F.lit(None).cast("long"), missing), F.slice("h", F.greatest(start, F.lit(0)) + 1, F.col("n") - missing))
-    one = found.select("doc_id", "item_id", start.alias("doc_pos"), region.alias("region"))
-    one = one.join(F.broadcast(items), "item_id")
-    n = agreement(F.col("item_h"), F.col("region"), window)
-    out = one.select("doc_id", "item_id", "doc_pos", n.alias("n_matched"), F.size("item_h").alias("n_item_words"))
-    return out.where(F.col("n_matched") >= F.ceil(F.lit(share) * F.least(F.col("n_item_words"), F.lit(window))))
-
-
-def short_hits(docs: DataFrame, short: DataFrame) -> DataFrame:
-    """Items with fewer words than any mask spans: an equi-join on the hashes of all runs of those lengths."""
-    lengths = range(1, min(map(len, MASKS)))
-    rows = _positions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes().alias("h")).where("doc_id is not null"))
-    runs = F.array(*[F.when(F.col(f"s.c{n - 1}").isNotNull(), F.xxhash64(F.lit(n), *[F.col(f"s.c{i}") for i in range(n)])) for n in lengths])
-    found = rows.select("doc_id", F.explode(runs).alias("seed")).join(F.broadcast(short), "seed")
-    return found.select("doc_id", "item_id", F.lit(0).alias("doc_pos"), F.col("n").alias("n_matched"), F.col("n").alias("n_item_words"))
-
-
-def short_seeds(items: DataFrame) -> DataFrame:
-    """(item_id, n, seed) of short items (item_id, h)."""
-    lengths = range(1, min(map(len, MASKS)))
-    seed = F.coalesce(*[F.when(F.size("h") == n, F.xxhash64(F.lit(n), *[F.element_at("h", i + 1) for i in range(n)])) for n in lengths])
-    return items.select("item_id", F.size("h").alias("n"), seed.alias("seed"))
+
+    def slide(p: Column) -> Column:
+        left = lambda i: F.when(i > window, F.element_at(p, F.greatest(i - window, F.lit(1)))).otherwise(0)
+        total = lambda acc, i: acc["now"] + F.element_at(p, i) - left(i)
+        step = lambda acc, i: F.struct(total(acc, i).alias("now"), F.greatest(acc["top"], total(acc, i)).alias("top"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(p)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), step, lambda acc: acc["top"])
+
+    return F.transform(F.array(same), slide)[0]
+
+
+def alignments(docs: DataFrame, seed_rows: DataFrame, masks: list[str]) -> DataFrame:
+    """Distinct (k1, k2, ik, start): where a hit lays an item on a text. k1, k2: key of the text."""
+    rows = docs.select(*content_key("text"), word_hashes().alias("h"))
+    s = F.broadcast(seed_rows.select("ik", "item_pos", F.col("seed").alias("item_seed")))
+    found = seeds(rows, dict.fromkeys(masks)).join(s, F.col("seed") == F.col("item_seed"))
+    return found.select("k1", "k2", "ik", (F.col("pos") - F.col("item_pos")).alias("start")).distinct()
+
+
+def matched(docs: DataFrame, bench: DataFrame, scratch: Scratch, window: int = WINDOW, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
+    """(k1, k2, ik, n_matched, n_item_words) of texts and items that overlap, the best of each pair; and items (item_id, ik)."""
+    listed = bench.select(F.col("item_id").cast("long").alias("item_id"), word_hashes().alias("h")).where(F.size("h") > 0)
+    listed = scratch.cut(listed.select("item_id", F.xxhash64("h").alias("ik"), "h"), "items")
+    items = scratch.cut(listed.groupBy("ik").agg(F.first("h").alias("h")).withColumn("n", F.size("h")), "texts")
+    lengths = [r.n for r in items.select(F.least("n", F.lit(LONG)).alias("n")).distinct().collect()]  # at most LONG rows
+    plan, parts = seed_plan(lengths, share), []
+    if plan:
+        rows = scratch.cut(seeds(items, plan).select("ik", F.col("pos").alias("item_pos"), "seed"), "seeds")
+        blocks = -(-rows.count() // BLOCK_SEEDS)
+        parts = [alignments(docs, rows.where(F.pmod(F.hash("seed"), F.lit(blocks)) == b), list(plan)) for b in range(blocks)]
+    if not parts:
+        parts = [docs.select(*content_key("text"), F.lit(0).cast("long").alias("ik"), F.lit(0).alias("start")).limit(0)]
+    starts = scratch.cut(reduce(DataFrame.unionByName, parts).distinct(), "starts")
+    hit = starts.select(F.col("k1").alias("_1"), F.col("k2").alias("_2")).distinct()
+    texts = docs.select(*content_key("text"), "text").join(checked(scratch.cut(hit, "hit")), (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")), "left_semi")
+    texts = texts.groupBy("k1", "k2").agg(F.first("text").alias("text")).select("k1", "k2", word_hashes().alias("h"))
+    # the item would start at word ``start``; words before the text's first are missing
+    on = starts.join(checked(items.select("ik", F.col("h").alias("item_h"), "n")), "ik").join(texts, ["k1", "k2"])
+    missing = F.greatest(-F.col("start"), F.lit(0))
+    region = F.concat(F.array_repeat(F.lit(None).cast("long"), missing), F.slice("h", F.greatest("start", F.lit(0)) + 1, F.col("n") - missing))
+    got = on.select("k1", "k2", "ik", agreement(F.col("item_h"), region, window).alias("n_matched"), F.col("n").alias("n_item_words"))
+    enough = F.when(F.col("n_item_words") < EXACT, F.col("n_item_words")).otherwise(F.ceil(F.lit(share) * F.least("n_item_words", F.lit(window)) - 1e-9))
+    best = got.where(F.col("n_matched") >= enough).groupBy("k1", "k2", "ik").agg(F.max("n_matched").alias("n_matched"), F.max("n_item_words").alias("n_item_words"))
+    return scratch.cut(best, "matched"), listed.select("item_id", "ik")
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, scratch: Scratch, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, n_matched, n_item_words): the best verified overlap of each pair."""
-    listed = bench.select(F.col("item_id").cast("long").alias("item_id"), word_hashes().alias("h")).where("item_id is not null").distinct()
-    listed = scratch.cut(listed, "items")
-    shortest = min(map(len, MASKS))
-    long_items = listed.where(F.size("h") >= shortest).select("item_id", F.col("h"))
-    rows = seeds(long_items).select("item_id", F.size("h").alias("n"), F.col("pos").alias("item_pos"), "seed")
-    rows = scratch.cut(rows, "seeds")
-    blocks = -(-rows.count() // BLOCK_SEEDS)
-    parts = []
-    for b in range(blocks):
-        mine = F.pmod(F.hash("item_id"), F.lit(blocks)) == b
-        parts.append(hits(docs, rows.where(mine), long_items.where(mine).select("item_id", F.col("h").alias("item_h")), window, share))
-    short = scratch.cut(short_seeds(listed.where((F.size("h") < shortest) & (F.size("h") > 0))), "short")
-    blocks = -(-short.count() // BLOCK_SEEDS)
-    parts += [short_hits(docs, short.where(F.pmod(F.hash("item_id"), F.lit(blocks)) == b)) for b in range(blocks)]
-    if not parts:
-        empty = docs.select(F.col("doc_id").cast("long").alias("doc_id")).limit(0)
-        parts = [empty.select("doc_id", F.col("doc_id").alias("item_id"), F.lit(0).alias("doc_pos"), F.lit(0).alias("n_matched"), F.lit(0).alias("n_item_words"))]
-    found = reduce(DataFrame.unionByName, parts)
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", "n_item_words")).alias("b"))
+    found, items = matched(docs, bench, scratch, window, share)
+    named = scratch.cut(found.join(checked(items.where("item_id is not null").distinct()), "ik").withColumnsRenamed({"k1": "_1", "k2": "_2"}), "named")
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *content_key("text"))
+    pairs = ids.join(checked(named), (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")))
+    best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", "n_item_words")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n_matched").alias("n_matched"), F.col("b.n_item_words").alias("n_item_words"))
 
 
 def clean(docs: DataFrame, bench: DataFrame, scratch: Scratch, window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """Documents without a verified overlap, with all their columns."""
-    gone = scratch.cut(contaminated(docs, bench, scratch, window, share).select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
-    return drop_ids(docs, gone)
+    """Rows whose text has no verified overlap, with all their columns, whatever their ids."""
+    gone = scratch.cut(matched(docs, bench, scratch, window, share)[0].select("k1", "k2").distinct(), "leaks")
+    return drop_rows(docs, content_key("text"), gone)

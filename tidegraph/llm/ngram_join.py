@@ -7,8 +7,8 @@
 2. Prefixes. Two sets with Jaccard similarity t share one of the first n - ceil(t n) + 1 shingles of the
    order. Only such shingles that occur twice become postings; documents without any are done.
    Equal sets are one node, named by a hash of the set.
-3. The order is cut into fragments (vertical partitions) and a node's shingles are stored by fragment.
-   For a candidate pair partial overlaps are counted per fragment in separate tasks and summed.
+3. The order is cut into fragments, runs of (count, hash) that hold about as many occurrences each, and a node's
+   shingles are stored by fragment. For a candidate pair partial overlaps are counted per fragment in separate tasks and summed.
 4. Candidates. In each posting group all nodes are compared with one leader, the node whose shingles are
    repeated most (the text that others were copied from, if it is there). A link between two nodes of a
    group that both link to its leader adds nothing to the components; any other link has an end that does not
@@ -19,9 +19,12 @@
    (two sets differ in at least as many elements as their bitmaps in bits). No link between components is lost,
    and a group of near copies costs one comparison per member.
 
+Buckets are as many as the bytes of the input ask for, so a task of the first step holds some tens of millions of hashes at any size.
+
 Defined cases: null text, or text without words, gives an empty set, linked with nothing; fewer words than
-``width`` give one shingle of them all; repeated rows are equal sets and link; null doc_ids are never
-a component's name unless alone; an empty table gives an empty result.
+``width`` give one shingle of them all; a very long text is one row of its hashes, 8 bytes a word, in a worker; repeated rows are equal
+sets and link; rows that share a doc_id are judged by their own texts; null doc_ids are never a component's name unless alone; an empty
+table gives an empty result; near_components() ignores extra columns, one_each() keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,11 +37,13 @@ from pyspark.sql import functions as F
 
 from tidegraph.llm import caches, files
 from tidegraph.llm.components import components
-from tidegraph.llm.tables import checked, drop_ids
+from tidegraph.llm.tables import checked, content_key, drop_rows
 from tidegraph.session import Scratch
 
 WIDTH, PERCENT = 5, 80
-BUCKET_BITS = 12
+#: Buckets of the order are 2 to a power between these; so many bytes of text ask for one.
+BUCKET_BITS = (12, 18)
+BUCKET_BYTES = 1 << 28
 FRAGMENTS = 4
 COUNT_CAP = 8  # what one chunk adds at most to a shingle's count; it orders shingles and decides nothing else
 CHUNK_SHINGLES = 1_000_000
@@ -95,8 +100,32 @@ def set_name(s: np.ndarray) -> int:
 # --- 1. global order ------------------------------------------------------------------------------
 
 
-def global_order(docs: DataFrame, scratch: Scratch, bits: int = BUCKET_BITS, width: int = WIDTH) -> str:
+def bucket_bits(n_bytes: int) -> int:
+    """Leading bits of a hash that name its bucket, for so many bytes of text."""
+    return min(max((n_bytes // BUCKET_BYTES).bit_length(), BUCKET_BITS[0]), BUCKET_BITS[1])
+
+
+def cuts(histogram: list[int], fragments: int = FRAGMENTS) -> list[int]:
+    """Where the order is cut, as keys of order_key(). histogram[c]: shingles that occur c times."""
+    weight = [c * n for c, n in enumerate(histogram)]
+    out, before = [], 0
+    targets = [sum(weight) * f / fragments for f in range(1, fragments)]
+    for c, w in enumerate(weight):
+        while targets and before + w >= targets[0] and w:
+            share = (targets.pop(0) - before) / w
+            out.append((c << 56) + min(int(share * 2**56), 2**56 - 1))
+        before += w
+    return out
+
+
+def order_key(counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Place in the global order, by count and then by hash."""
+    return (counts.astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8))
+
+
+def global_order(docs: DataFrame, scratch: Scratch, bits: int | None = None, width: int = WIDTH) -> str:
     """Folder of sorted arrays of the shingles that occur more than once: per bucket, 32 more bits and a count."""
+    bits = bits or bucket_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     root, kind = scratch.path("order"), "bucket int, packed binary"
 
     def packed(parts: list[np.ndarray]):
@@ -129,11 +158,11 @@ def global_order(docs: DataFrame, scratch: Scratch, bits: int = BUCKET_BITS, wid
         import pyarrow as pa
         from pyspark import TaskContext
 
-        name, keys, counts, index = files.attempt_name("shard"), None, None, []
+        name, keys, counts, index, seen = files.attempt_name("shard"), None, None, [], np.zeros(256, np.int64)
         at, now, held = 0, None, []
 
         def close():
-            nonlocal at, keys, counts
+            nonlocal at, keys, counts, seen
             low, n = np.unique(np.concatenate(held), return_counts=True)
             low, n = low[n > 1], np.minimum(n[n > 1], 255)
             if len(low):
@@ -142,6 +171,7 @@ def global_order(docs: DataFrame, scratch: Scratch, bits: int = BUCKET_BITS, wid
                 keys.write(low.astype("<u4").tobytes())
                 counts.write(n.astype("u1").tobytes())
                 index.append([now, at, len(low)])
+                seen += np.bincount(n, minlength=256)
                 at += len(low)
 
         for b in batches:
@@ -156,12 +186,13 @@ def global_order(docs: DataFrame, scratch: Scratch, bits: int = BUCKET_BITS, wid
         if keys is not None:
             keys.close()
             counts.close()
-            yield pa.RecordBatch.from_pydict({"pid": pa.array([TaskContext.get().partitionId()], pa.int32()), "name": [name], "buckets": [json.dumps(index)]})
+            yield pa.RecordBatch.from_pydict({"pid": pa.array([TaskContext.get().partitionId()], pa.int32()), "name": [name], "buckets": [json.dumps(index)], "seen": [seen.tolist()]})
 
     rows = docs.select("text").mapInArrow(send, kind).repartition("bucket").sortWithinPartitions("bucket")
-    shards = scratch.cut(rows.mapInArrow(keep, "pid int, name string, buckets string"), "shards").collect()  # a row per task
+    shards = scratch.cut(rows.mapInArrow(keep, "pid int, name string, buckets string, seen array<long>"), "shards").collect()  # a row per task
+    cut = cuts(np.sum([s["seen"] for s in shards], axis=0).tolist() if shards else [])
     with files.create(f"{root}/manifest.json") as f:
-        f.write(json.dumps({"bits": bits, "shards": [[s["name"], json.loads(s["buckets"])] for s in shards]}).encode())
+        f.write(json.dumps({"bits": bits, "cuts": cut, "shards": [[s["name"], json.loads(s["buckets"])] for s in shards]}).encode())
     return root
 
 
@@ -171,6 +202,7 @@ class Order:
     def __init__(self, root: str) -> None:
         m = json.loads(files.read_bytes(f"{root}/manifest.json"))
         self.root, self.bits, self.where, self.open = root, m["bits"], {}, {}
+        self.cuts = np.array(m["cuts"], np.uint64)
         for name, buckets in m["shards"]:
             for b, at, n in buckets:
                 self.where[b] = (name, at, n)
@@ -216,10 +248,10 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def nodes(docs: DataFrame, root: str, width: int = WIDTH, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
-    """doc_id, node, n (set size), mass (mean count of its shingles, in thousandths), posts (prefix shingles that occur elsewhere), places (their positions in the order), sig (parity bitmap) and segs (repeated shingles by fragment; null without posts)."""
+def nodes(docs: DataFrame, root: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, k1 and k2 (key of the text), node, n (set size), mass (mean count of its shingles, in thousandths), posts (prefix shingles that occur elsewhere), places (their positions in the order), sig (parity bitmap) and segs (repeated shingles by fragment; null without posts)."""
 
-    def flush(ids, sets):
+    def flush(ids, keys, sets):
         import pyarrow as pa
 
         own = order_of(root)
@@ -243,26 +275,29 @@ def nodes(docs: DataFrame, root: str, width: int = WIDTH, percent: int = PERCENT
             sigs.append(parity(s) if len(first) else None)
             if len(first):
                 rep = s[c > 1]
-                cut = np.searchsorted(rep, (np.arange(1, fragments, dtype=np.uint64) << np.uint64(61)) * np.uint64(8 // fragments))
-                segs.append([x.astype("<u8").tobytes() for x in np.split(rep, cut)])
+                frag = np.searchsorted(own.cuts, order_key(c[c > 1], rep), "right")
+                segs.append([rep[frag == k].astype("<u8").tobytes() for k in range(len(own.cuts) + 1)])
             else:
                 segs.append(None)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mass, pa.int64()), pa.array(posts, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64())), pa.array(segs, pa.list_(pa.binary()))], names=["doc_id", "node", "n", "mass", "posts", "places", "sig", "segs"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(k, pa.int64()) for k in keys), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mass, pa.int64()), pa.array(posts, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64())), pa.array(segs, pa.list_(pa.binary()))], names=["doc_id", "k1", "k2", "node", "n", "mass", "posts", "places", "sig", "segs"])
 
     def run(batches):
         for b in batches:
-            ids, sets, held = [], [], 0
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids, keys, sets, held = [], ([], []), [], 0
+            for i, k1, k2, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "k1", "k2", "text")), strict=True):
                 ids.append(i)
+                keys[0].append(k1)
+                keys[1].append(k2)
                 sets.append(shingles(t, width))
                 held += len(sets[-1])
                 if held > CHUNK_SHINGLES:
-                    yield flush(ids, sets)
-                    ids, sets, held = [], [], 0
+                    yield flush(ids, keys, sets)
+                    ids, keys, sets, held = [], ([], []), [], 0
             if ids:
-                yield flush(ids, sets)
+                yield flush(ids, keys, sets)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, mass long, posts array<long>, places array<long>, sig array<long>, segs array<binary>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *content_key("text"), "text")
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, n long, mass long, posts array<long>, places array<long>, sig array<long>, segs array<binary>")
 
 
 # --- 3. overlaps by fragment -----------------------------------------------------------------------
@@ -332,17 +367,16 @@ def _marks(marks: DataFrame, at: str) -> DataFrame:
 
 def links(rows: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """(a, b): links between nodes that connect all nodes of a component. rows: the table of nodes()."""
-    live = rows.where(F.col("segs").isNotNull())
-    segments = live.select("node", F.posexplode("segs").alias("frag", "seg")).groupBy("node", "frag").agg(F.first("seg").alias("seg"))
-    segments = scratch.cut(segments, "segments")
-    marks = live.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
-    marks = scratch.cut(marks.select("node", "n", *(F.col("sig")[k].alias(f"b{k}") for k in range(SIG_WORDS))), "marks")
+    live = rows.where(F.col("segs").isNotNull()).select("node", "n", "mass", "posts", "places", "sig", "segs")
+    live = scratch.cut(live.dropDuplicates(["node"]), "live")  # equal sets fall together before they leave their tasks
+    segments = live.select("node", F.posexplode("segs").alias("frag", "seg"))
+    marks = live.select("node", "n", *(F.col("sig")[k].alias(f"b{k}") for k in range(SIG_WORDS)))
     sizes = marks.select("node", "n")
     posts = live.select(F.explode(F.arrays_zip("posts", "places")).alias("p"), "node", "mass").select(F.col("p.posts").alias("h"), F.col("p.places").alias("place"), "node", "mass")
     groups = posts.groupBy("h").agg(F.max(F.struct("mass", "node")).alias("top"), F.min("node").alias("first"), F.max("node").alias("last"))
     groups = scratch.cut(groups.where("first <> last").select("h", F.col("top.node").alias("lead")), "groups")
-    # members of groups; equal sets fall together
-    shared = scratch.cut(posts.join(groups, "h").distinct(), "members")
+    # nothing above this join needs the rows of a shingle together, so a frequent one is split
+    shared = scratch.cut(posts.join(groups, "h"), "members")
     stars = scratch.cut(shared.where("node <> lead").select("lead", "node").distinct(), "stars")
     tried = stars.join(_marks(marks, "lead"), "lead").join(_marks(marks, "node"), "node").where(_may_link("lead", "node", percent)).select("lead", "node")
     done = verified(tried, segments, sizes, scratch, percent)
@@ -387,26 +421,45 @@ def _across(around: DataFrame, comp: DataFrame, done: DataFrame, scratch: Scratc
     return pairs.select(F.least("node_x", "node_y").alias("lead"), F.greatest("node_x", "node_y").alias("node")).distinct().join(seen, ["lead", "node"], "left_anti")
 
 
+def parts(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, k1, k2, n, part (a name of the component; null for empty sets) of every row."""
+    rows = scratch.cut(nodes(docs, global_order(docs, scratch, width=width), width, percent), "nodes")
+    comp = components(links(rows, scratch, percent), scratch).withColumnRenamed("node", "_node")
+    full, empty = rows.where("node is not null"), rows.where("node is null")
+    named = full.join(comp, F.col("node") == F.col("_node"), "left").select("doc_id", "k1", "k2", "n", F.coalesce("root", "node").alias("part"))
+    return scratch.cut(named.unionByName(empty.select("doc_id", "k1", "k2", "n", F.col("node").alias("part"))), "named")
+
+
 def near_components(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    rows = scratch.cut(nodes(docs, global_order(docs, scratch, width=width), width, percent), "nodes")
-    comp = components(links(rows, scratch, percent), scratch)
-    named = rows.select("doc_id", "n", "node").join(comp.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    named = scratch.cut(named.select("doc_id", "n", F.coalesce("root", "node").alias("part")), "named")
+    named = parts(docs, scratch, width, percent).select("doc_id", "n", "part")
     least = scratch.cut(named.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("least")), "least")
-    out = named.join(least, "part", "left")
+    out = named.where("part is not null").join(least, "part").select("doc_id", "n", "least")
+    out = out.unionByName(named.where("part is null").select("doc_id", "n", F.col("doc_id").alias("least")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_each(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all its columns. Rows with a null doc_id stay."""
-    found = scratch.cut(near_components(docs, scratch, width, percent), "found")
-    gone = scratch.cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    kept = drop_ids(docs, gone)
-    ids = found.where("doc_id is not null")
-    if ids.count() == ids.select("doc_id").distinct().count():
+    """One row of each component, with all its columns: that of the smallest doc_id, null ids last; of rows that share it, one text.
+
+    Rows are told apart by doc_id and text; of rows with the same both, the one whose other columns hash lowest stays. Rows without words stay.
+    """
+    key = [F.col("doc_id").cast("long"), *content_key("text")]
+    found = parts(docs, scratch, width, percent).where("part is not null").select("part", "doc_id", "k1", "k2")
+    copies = scratch.cut(found.groupBy("part", "doc_id", "k1", "k2").agg(F.count("*").alias("copies")), "copies")
+    first = copies.groupBy(F.col("part").alias("_part")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")).alias("w"))
+    first = scratch.cut(first, "first")
+    stays = F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("k1") == F.col("w.k1")) & (F.col("k2") == F.col("w.k2"))
+    ruled = copies.join(first, F.col("part") == F.col("_part")).select("doc_id", "k1", "k2", "copies", stays.alias("stays"))
+    ruled = scratch.cut(ruled, "ruled")
+    kept = drop_rows(docs, key, ruled.where("not stays").select("doc_id", "k1", "k2"))
+    again = scratch.cut(ruled.where("stays and copies > 1").select("doc_id", "k1", "k2"), "again")
+    if again.isEmpty():
         return kept
-    again = ids.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_again"))
-    again = checked(scratch.cut(again, "again"))
-    alone = kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
-    return alone.unionByName(kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
+    marked = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = kept.select(marked, key[0].alias("id"), *(k.alias(f"h{i}") for i, k in enumerate(key[1:])), F.xxhash64(*(F.col(c) for c in plain)).alias("rest"))
+    right = checked(again)
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h0") == F.col("k1")) & (F.col("h1") == F.col("k2"))
+    one = rows.join(right, same, "left_semi").groupBy("id", "h0", "h1").agg(F.min_by("row", "rest").alias("row"))
+    return rows.join(right, same, "left_anti").select("row.*").unionByName(one.select("row.*"))
