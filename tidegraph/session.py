@@ -32,10 +32,12 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self.made: list[str] = []
 
     def path(self, name: str) -> str:
         self.count += 1
-        return f"{self.root}/{self.count:03d}-{name}"
+        self.made.append(f"{self.root}/{self.count:03d}-{name}")
+        return self.made[-1]
 
     def cut(self, df: DataFrame, name: str = "step") -> DataFrame:
         """Write df and read it back: later plans start from files that survive lost executors."""
@@ -52,6 +54,14 @@ class Scratch:
         if path:
             delete(self.spark, path)
 
+    def sweep(self, *keep: DataFrame) -> None:
+        """Delete all that was written here but the tables of ``keep``, which cut() gave: an operator calls it when nothing else will be read again."""
+        stay = {df.scratch_path for df in keep}
+        for path in self.made:
+            if path not in stay:
+                delete(self.spark, path)
+        self.made = [p for p in self.made if p in stay]
+
 
 def delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
