@@ -8,7 +8,8 @@ seeded hash order, up to the one that straddles the quota, which is taken if at
 
 Defined cases: null text has size 0; a source of size 0 has target 0 and takes nothing; repeated
 rows and rows that share a doc_id share a hash and are taken alike; an empty table gives an empty
-result. Extra columns of the input are kept; the added ones carry a ``mix_`` prefix.
+result; a very long text is counted by one expression, without Python. Extra columns of the input are kept; the added ones carry a ``mix_`` prefix, and
+underscores behind the name where the input has that name already (names()).
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidegraph.llm.tables import fresh
 from tidegraph.session import Scratch
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -83,25 +85,38 @@ def source_plan(docs: DataFrame, scratch: Scratch, seed: int = 17, weights=WEIGH
     # where all of the bucket fits, the quota ends at its end
     out = plan.join(first, plan["mix_source"].eqNullSafe(first["edge_source"]), "left").join(cut, plan["mix_source"].eqNullSafe(cut["cut_source"]), "left")
     after = F.concat(F.col("edge"), F.lit("~"))
-    return scratch.cut(
-        out.select("mix_source", "source_size", "weight", "target", "whole", F.when(F.col("source_size") > 0, F.coalesce("key_cut", after)).otherwise("").alias("cutoff")), "plan"
+    out = scratch.cut(
+        out.select("mix_source", "source_size", "weight", "target", "whole", F.when((F.col("source_size") > 0) & (plan["need"] > 0), F.coalesce("key_cut", after)).otherwise("").alias("cutoff")), "plan"
     )
+    scratch.sweep(out)
+    return out
+
+
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+
+
+def names(columns: list[str]) -> dict[str, str]:
+    """The names under which mix() adds its columns to a table of these columns."""
+    return {x: fresh(columns, x) for x in ADDED}
 
 
 def mix(docs: DataFrame, scratch: Scratch, seed: int = 17, weights=WEIGHTS, ratio: float = 1.5, cap: float = 2.0) -> DataFrame:
     """docs with mix_size, mix_source_size, mix_target and mix_copies (0..cap) for each document."""
+    named = names(docs.columns)
     plan = source_plan(docs, scratch, seed, weights, ratio, cap)
-    sized = docs.withColumn("mix_size", n_words())
-    plan = plan.select(F.col("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias("mix_whole"), F.col("cutoff").alias("mix_cutoff"))
+    row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
+    sized = docs.select(row, F.col("source").alias("at"), n_words().alias("size"), order_key(seed).alias("key"))
     small = plan.count() <= BROADCAST_SOURCES
-    joined = sized.join(F.broadcast(plan) if small else plan, sized["source"].eqNullSafe(plan["mix_source"]))
-    copies = F.col("mix_whole") + F.when(order_key(seed) < F.col("mix_cutoff"), 1).otherwise(0)
-    return joined.withColumn("mix_copies", copies.cast("int")).drop("mix_source", "mix_whole", "mix_cutoff")
+    joined = sized.join(F.broadcast(plan) if small else plan, sized["at"].eqNullSafe(plan["mix_source"]))
+    copies = (F.col("whole") + F.when(F.col("key") < F.col("cutoff"), 1).otherwise(0)).cast("int")
+    added = zip((F.col("size"), F.col("source_size"), F.col("target"), copies), ADDED, strict=True)
+    return joined.select("row.*", *(c.alias(named[x]) for c, x in added))
 
 
 def materialise(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each copy, with the original columns."""
-    return mixed.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(columns)
+    """One row for each copy, with the original columns. columns: those of the table that was mixed."""
+    copies, mark = names(columns)["mix_copies"], fresh(mixed.columns, "mix_copy")
+    return mixed.where(F.col(copies) > 0).withColumn(mark, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(columns)
 
 
 def oracle_sql(seed: int = 17) -> str:
