@@ -20,6 +20,8 @@ def _bytes(field: T.StructField) -> Column:
         return F.coalesce(F.octet_length(c), F.lit(0)) + 16
     if isinstance(field.dataType, T.ArrayType):
         return F.greatest(F.size(c), F.lit(0)) * 8 + 16
+    if isinstance(field.dataType, T.MapType):
+        return F.greatest(F.size(c), F.lit(0)) * 24 + 16
     return F.lit(8)
 
 
