@@ -6,12 +6,13 @@ turns already seen, and new turns, within ``budget`` tokens. Assistant texts of
 mask; repeated ones are not, so each target counts once. A turn that is itself over the budget is the only
 new one of its window, without history, and the window says so.
 
-The pass streams over rows sorted by conversation: a task holds the system turn, the history and one
+Turns are formatted and counted where they are read, so a very long conversation is tokenised by many tasks. The pass that
+cuts windows streams over rows sorted by conversation and only adds up: a task holds the system turn, the history and one
 window, never a whole conversation.
 
 Defined cases: null text is empty, null role is the role "" and never a target; turns are ordered by
 (turn, role, text) with nulls first, so ties and repeated rows have one order and are all kept; the null conv_id
-is a conversation; an empty table gives an empty result. Extra columns are ignored.
+is a conversation; a very long turn is one row in a worker; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,17 +132,24 @@ class _Conversation:
 def windows(turns: DataFrame, path: str, budget: int = 1024, history: int = 256, target: str = "assistant") -> DataFrame:
     """Formatted windows of every conversation."""
 
+    def size(batches):
+        import pyarrow as pa
+
+        enc = encoder(path)
+        for b in batches:
+            formatted = [render(r or "", t or "")[0] for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(enc.values(formatted), pa.int64())], names=[*b.schema.names, "n"])
+
     def cut(batches):
         import pyarrow as pa
 
-        enc, schema = encoder(path), None
         schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("n_context", pa.int32()), ("loss_spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("n_tokens", pa.int64()), ("over_budget", pa.bool_())])
         conv, rows, held = None, [], 0
         pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         for b in batches:
-            ids, roles, texts = (b.column(k).to_pylist() for k in ("conv_id", "role", "text"))
+            ids, roles, texts, sizes = (b.column(k).to_pylist() for k in ("conv_id", "role", "text", "n"))
             formatted = [render(r or "", t or "") for r, t in zip(roles, texts, strict=True)]
-            for c, r, (body, start, end), n in zip(ids, roles, formatted, enc.values([x[0] for x in formatted]), strict=True):
+            for c, r, (body, start, end), n in zip(ids, roles, formatted, sizes, strict=True):
                 if conv is None or conv.conv_id != c:
                     if conv:
                         rows.append(conv.end())
@@ -159,6 +167,7 @@ def windows(turns: DataFrame, path: str, budget: int = 1024, history: int = 256,
             yield pack()
 
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    t = t.mapInArrow(size, "conv_id long, turn long, role string, text string, n long")
     return t.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(cut, WINDOWS)
 
 
