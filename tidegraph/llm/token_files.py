@@ -7,7 +7,7 @@ documents + 1 offsets relative to the partition, doc_ids, and one byte each that
 Offset of a document in the corpus = base + relative offset, a 64-bit integer.
 
 Defined cases: null text gives the end id alone; null doc_ids come first; rows that share a doc_id
-are ordered by text; an empty table gives a manifest without partitions and an empty result.
+are ordered by text and may be split by its first characters; a very long text is one row in a worker; extra columns are ignored; an empty table gives a manifest without partitions and an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from tidegraph.llm.encoders import encoder
 from tidegraph.session import Scratch
 
 MAGIC = b"TIDETOK1"
+HEAD = 32
 
 
 def write(docs: DataFrame, path: str, scratch: Scratch, end_id: int = 2) -> str:
@@ -66,7 +67,8 @@ def write(docs: DataFrame, path: str, scratch: Scratch, end_id: int = 2) -> str:
         )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the head of a text splits rows that share a doc_id, and keeps the order
+    rows = rows.repartitionByRange("doc_id", F.substring("text", 1, HEAD)).sortWithinPartitions("doc_id", "text")
     parts = scratch.cut(rows.mapInArrow(put, kind), "parts").orderBy("pid").collect()  # a row per partition
     base, listed = 0, []
     for p in parts:
