@@ -149,7 +149,9 @@ def matched(docs: DataFrame, bench: DataFrame, scratch: Scratch, window: int = W
     got = on.select("k1", "k2", "ik", agreement(F.col("item_h"), region, window).alias("n_matched"), F.col("n").alias("n_item_words"))
     enough = F.when(F.col("n_item_words") < EXACT, F.col("n_item_words")).otherwise(F.ceil(F.lit(share) * F.least("n_item_words", F.lit(window)) - 1e-9))
     best = got.where(F.col("n_matched") >= enough).groupBy("k1", "k2", "ik").agg(F.max("n_matched").alias("n_matched"), F.max("n_item_words").alias("n_item_words"))
-    return scratch.cut(best, "matched"), listed.select("item_id", "ik")
+    best, items = scratch.cut(best, "matched"), scratch.cut(listed.select("item_id", "ik"), "ids")
+    scratch.sweep(best, items)
+    return best, items
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, scratch: Scratch, window: int = WINDOW, share: float = SHARE) -> DataFrame:

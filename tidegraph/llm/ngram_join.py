@@ -427,7 +427,9 @@ def parts(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int =
     comp = components(links(rows, scratch, percent), scratch).withColumnRenamed("node", "_node")
     full, empty = rows.where("node is not null"), rows.where("node is null")
     named = full.join(comp, F.col("node") == F.col("_node"), "left").select("doc_id", "k1", "k2", "n", F.coalesce("root", "node").alias("part"))
-    return scratch.cut(named.unionByName(empty.select("doc_id", "k1", "k2", "n", F.col("node").alias("part"))), "named")
+    named = scratch.cut(named.unionByName(empty.select("doc_id", "k1", "k2", "n", F.col("node").alias("part"))), "named")
+    scratch.sweep(named)
+    return named
 
 
 def near_components(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
