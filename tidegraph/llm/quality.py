@@ -3,7 +3,8 @@
 The language model is a modified Kneser-Ney model of the characters of words (order 5, within word
 boundaries), one for each declared language. Grams of every document are counted: each task counts
 words, spells the distinct ones into 5-grams, and Spark sums the grams; continuation counts and discounts
-come from grouped aggregation. Probabilities and back-off weights go to sorted hash arrays in the shared folder, which
+come from grouped aggregation (grams that begin a word have no other context before them, so they keep their plain counts). The model
+takes in all documents, those that fail the base rules too. Probabilities and back-off weights go to sorted hash arrays in the shared folder, which
 workers memory-map; nothing that grows with the corpus is broadcast or sent to the driver.
 
 A document is rejected if one of two measures is outside the band of its language: log perplexity (per character), and
@@ -12,8 +13,9 @@ the median plus or minus ``spread`` robust deviations (1.4826 times the median a
 Both are read off an exact histogram with bins of 0.001, where documents of equal score and number of words count once, so
 copies do not narrow a band; if more than half still share the median's bin, the deviation is that of the others.
 
-Defined cases: null text has no words and fails the base rules; a null or empty lang is the language "und";
-repeated rows are counted and scored each; an empty table gives an empty result; extra columns are kept by keep().
+Defined cases: null text has no words and fails the base rules; a null or empty lang is the language "und"; a very long
+text is measured whole, in a worker's memory; repeated rows are counted and scored each, and equal texts of a language share a verdict; an empty
+table gives an empty result; extra columns, of any name, are kept by keep().
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegraph.llm import caches, files
-from tidegraph.llm.tables import checked
+from tidegraph.llm.tables import checked, content_key, drop_rows
 from tidegraph.session import Scratch
 
 ORDER = 5
@@ -37,7 +39,7 @@ WORDS_HELD = 300_000
 WORDS_CACHED = 1 << 19
 CHUNK_CHARS = 2 << 20
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-SPREAD, BIN = 4.0, 0.001
+SPREAD, BIN = 5.0, 0.001
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,7 +126,9 @@ def kneser_ney(grams: DataFrame, scratch: Scratch) -> DataFrame:
         if n == 1:
             parts.append(ctx.select(F.lit(0).alias("kind"), "lang", F.lit("").alias("gram"), (F.lit(1.0) / (F.col("types") + 1)).alias("value")))
         else:  # continuation counts: in how many contexts the shorter gram was seen
-            level = level.groupBy("lang", F.substring("gram", 2, n - 1).alias("gram")).agg(F.count("*").alias("n"))
+            # a gram that begins with the padding is always preceded by it: it keeps its plain count
+            shorter = level.groupBy("lang", F.substring("gram", 2, n - 1).alias("gram")).agg(F.count("*").alias("seen"), F.sum("n").alias("n"))
+            level = shorter.select("lang", "gram", F.when(F.substring("gram", 1, 1) == PAD, F.col("n")).otherwise(F.col("seen")).alias("n"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -326,7 +330,7 @@ def base_failed(n_words: int, repeat: int) -> bool:
     return n_words < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n_words
 
 
-FIELDS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double, log_word double, base_failed boolean"
+FIELDS = "doc_id long, k1 long, k2 long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double, log_word double, base_failed boolean"
 
 
 def train(docs: DataFrame, scratch: Scratch) -> str:
@@ -343,9 +347,9 @@ def scores(docs: DataFrame, root: str) -> DataFrame:
             failed = [base_failed(n, r) for n, r in zip(got[0], got[4], strict=True)]
             per_word = [log_word(n, c, s) for n, c, s in zip(got[0], got[1], got[5], strict=True)]
             ints = [pa.array(got[k], pa.int64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *ints, pa.array(got[5], pa.float64()), pa.array(per_word, pa.float64()), pa.array(failed, pa.bool_())], names=[x.split()[0] for x in FIELDS.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k1"), b.column("k2"), b.column("lang"), *ints, pa.array(got[5], pa.float64()), pa.array(per_word, pa.float64()), pa.array(failed, pa.bool_())], names=[x.split()[0] for x in FIELDS.split(", ")])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language(), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *content_key("lang", "text"), language(), "text")
     return rows.mapInArrow(run, FIELDS)
 
 
@@ -375,37 +379,23 @@ def bands(scored: DataFrame, scratch: Scratch, spread: float = SPREAD) -> DataFr
     return scratch.cut(wide.groupBy(F.col("lang").alias("band_lang")).agg(*limits), "bands")
 
 
-def judged(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str, DataFrame]:
-    """Scores with the verdict, the model's folder and the bands."""
-    root = train(docs, scratch)
-    scored = scratch.cut(scores(docs, root), "scores")
+def judged(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Scores with the verdict; k1 and k2 stand for lang and text, which alone decide."""
+    scored = scratch.cut(scores(docs, train(docs, scratch)), "scores")
     limits = bands(scored, scratch)
+    scratch.sweep(scored, limits)
     inside = scored.join(checked(limits), F.col("lang") == F.col("band_lang"), "left")
     kept = ~F.col("base_failed") & F.col("log_ppl").between(F.col("low"), F.col("high")) & F.col("log_word").between(F.col("word_low"), F.col("word_high"))
-    return inside.withColumn("kept", F.coalesce(kept, F.lit(False))).drop("band_lang"), root, limits
+    return inside.withColumn("kept", F.coalesce(kept, F.lit(False))).drop("band_lang")
 
 
 def quality(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Statistics and verdict of every document."""
-    out = judged(docs, scratch)[0]
+    out = judged(docs, scratch)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.exp("log_ppl").alias("perplexity"))
 
 
 def keep(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The documents that pass, with all their columns. Verdicts are taken again where the texts are, so no text is shuffled."""
-    _, root, limits = judged(docs, scratch)
-    columns = docs.columns
-    low_high = {r.band_lang: (r.low, r.high, r.word_low, r.word_high) for r in limits.toLocalIterator()}  # a row per language
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            langs = b.column("_lang").to_pylist()
-            ok = []
-            for la, (n, chars, _, _, r, s) in zip(langs, measure(root, langs, b.column("text").to_pylist()), strict=True):
-                low, high, word_low, word_high = low_high.get(la, (0.0, -1.0, 0.0, -1.0))
-                ok.append(not base_failed(n, r) and low <= s <= high and word_low <= log_word(n, chars, s) <= word_high)
-            yield b.select(columns).filter(pa.array(ok, pa.bool_()))
-
-    return docs.withColumn("_lang", language()).mapInArrow(run, docs.schema)
+    """The documents that pass, with all their columns. Texts are scored once; those that fail are dropped by their key."""
+    gone = scratch.cut(judged(docs, scratch).where("not kept").select("k1", "k2").distinct(), "rejected")
+    return drop_rows(docs, content_key("lang", "text"), gone)
