@@ -7,9 +7,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidegraph import SEMIRINGS, EvolveConfig, queries
+from tidegraph import SEMIRINGS, EvolveConfig, queries, run
 from tidegraph.config import INF, NEVER
 from tidegraph.functions import bits
+from tidegraph.functions.semiring import Semiring
 from tidegraph.operators import dependency, evolve, fixpoint, frontier
 from tidegraph.plans import STRATEGIES
 from tidegraph.session import Scratch
@@ -117,7 +118,7 @@ def test_queries_match_sql(spark):
     for t in ("lineitem", "events"):
         con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     sql, qs = queries.oracle_sql(), queries.queries()
-    for name in ("canonical_edges", "evolve_edges", "edge_bitmap", "delta_changes", "edge_offsets", "event_succession", "reevaluate_sssp", "dependency_forest"):
+    for name in ("canonical_edges", "evolve_edges", "edge_bitmap", "delta_changes", "edge_offsets", "event_succession", "reevaluate_sssp", "dependency_forest", "deleted_tree_vertices", "proxy_graph", "source_bin", "source_wel", "printed_parents", "processing_log", "concurrent_viterbi", "run_el_sssp"):
         df = qs[name](spark, SF)
         cols = sorted(df.columns)
         got = sorted(map(str, (tuple(r[c] for c in cols) for r in df.collect())))
@@ -141,7 +142,7 @@ def test_readers_and_writers(spark, tmp_path):
     el.write_text("% sym unweighted\n1\t2\n2 1 7\n\n3 3\n")
     edges = read_edges(spark, str(el))
     assert {(r.src, r.dst) for r in edges.collect()} == {(1, 2), (2, 1), (3, 3)}
-    edgelist.write_binary(edges, str(out))
+    edgelist.write_binary(edges, str(out), Scratch(spark, "t"))
     assert struct.unpack("<II", out.read_bytes()[:8]) == (4, 2)
     edgelist.register(spark)
     got = spark.read.format("edge_bin").option("splitRows", 1).load(str(out))
@@ -151,6 +152,37 @@ def test_readers_and_writers(spark, tmp_path):
         read_edges(spark, "graph.xyz")
 
 
+def test_distances_beyond_any_short(spark):
+    """A chain of heavy edges, and ids near the end of 64 bits."""
+    big = 10**15
+    rows = [(s, d, 20_000, 0, NEVER) for i in range(6) for s, d in ((big + i, big + i + 1), (big + i + 1, big + i))]
+    edges = spark.createDataFrame(rows, "src long, dst long, w int, snap_a int, snap_d int")
+    cfg = EvolveConfig(snapshots=1, source=big, roots=2)
+    for plan, f in STRATEGIES.items():
+        got = {(r.sid, r.v): r.val for r in f(edges, SEMIRINGS["sssp"], cfg, Scratch(spark, "t")).collect()}
+        assert got == {(s, big + i): 20_000 * i for s in (0, 1) for i in range(7)}, plan
+    hashed = edges.select(bits.edge_hash(999, "src", "dst").alias("h"), "src", "dst").collect()
+    assert all(r.h == (r.src * 7919 + r.dst * 104729 + 999 * 1299709) % 1000003 for r in hashed)
+
+
+def test_a_user_made_ring(spark):
+    """Fewest edges of weight 3 on a path."""
+    ring = Semiring("threes", False, INF, 0, lambda v, w: v + F.when(w == 3, 1).otherwise(0), "{v} + ({w} = 3)")
+    rows = random_graph(3)
+    edges = spark.createDataFrame(rows, "src long, dst long, w int, snap_a int, snap_d int")
+    want = {(r.sid, r.v): r.val for r in STRATEGIES["reevaluate"](edges, ring, EvolveConfig(snapshots=2, source=0), Scratch(spark, "t")).collect()}
+    for plan, f in STRATEGIES.items():
+        got = {(r.sid, r.v): r.val for r in f(edges, ring, EvolveConfig(snapshots=2, source=0, roots=2), Scratch(spark, "t")).collect()}
+        assert got == want, plan
+
+
+def test_weights_of_a_file(spark, tmp_path):
+    path = tmp_path / "g.wel"
+    path.write_text("1 2 9\n2 1 4\n2 3 5\n3 4\n")
+    edges = run.evolve_file(spark, str(path), EvolveConfig(snapshots=0, init_percent=100), Scratch(spark, "t"))
+    assert {(r.src, r.dst): r.w for r in edges.collect()} == {(1, 2): 4, (2, 1): 4, (2, 3): 5, (3, 2): 5, (3, 4): 8, (4, 3): 8}
+
+
 def test_results(spark, tmp_path):
     state = spark.createDataFrame([(1, 3), (0, INF)], "v long, val long")
     assert results.render(state) == ["0 INF", "1 3"]

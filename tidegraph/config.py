@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-#: Fixed values of the data model: the "unreached" sentinel and the end of an edge that is never deleted.
-INF = 32767
+#: Beyond all distances: the value of unreached vertices, and the width of the source. No sum of weights comes near it.
+INF = 1 << 62
+#: Fixed values of the data model: the unit of a Viterbi probability and the end of an edge that is never deleted.
+ONE = 32767
 NEVER = 2147483647
 MAX_SNAPSHOTS = 62
 

@@ -40,8 +40,9 @@ def common(snapshots: int, snap_a: str = "snap_a", snap_d: str = "snap_d") -> Co
 
 
 def edge_hash(seed: int, u: str = "u", v: str = "v") -> Column:
-    """Order key in 0..HASH_MODULUS-1 in integer arithmetic that any SQL engine repeats."""
-    return (F.col(u) * 7919 + F.col(v) * 104729 + F.lit(seed * 1299709).cast("long")) % HASH_MODULUS
+    """Order key in 0..HASH_MODULUS-1 in integer arithmetic that any SQL engine repeats; ids of any size."""
+    part = lambda c: F.col(c) % HASH_MODULUS
+    return F.pmod(part(u) * 7919 + part(v) * 104729 + F.lit(seed * 1299709).cast("long"), F.lit(HASH_MODULUS).cast("long"))
 
 
 def weight(modulus: int, src: str = "src", dst: str = "dst") -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidegraph.config import INF
+from tidegraph.config import INF, ONE
 
 
 @dataclass(frozen=True)
@@ -48,7 +48,7 @@ class Semiring:
     def initial(self, v: Column, source: int | None) -> Column:
         if not self.sourced:
             return v.cast("long")
-        return F.when(v == F.lit(source), F.lit(self.at_source)).otherwise(F.lit(self.start)).cast("long")
+        return F.when(v == F.lit(source), F.lit(self.at_source).cast("long")).otherwise(F.lit(self.start).cast("long"))
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -61,7 +61,7 @@ SEMIRINGS: dict[str, Semiring] = {
         Semiring("sssp", False, INF, 0, lambda v, w: v + w, "{v} + {w}"),
         Semiring("ssnp", False, INF, 0, lambda v, w: F.greatest(v, w.cast("long")), "greatest({v}, {w})"),
         Semiring("sswp", True, 0, INF, lambda v, w: F.least(v, w.cast("long")), "least({v}, {w})"),
-        Semiring("viterbi", True, 0, INF, _div, "{v} // {w}"),
+        Semiring("viterbi", True, 0, ONE, _div, "{v} // {w}"),
         Semiring("bfs", False, INF, 0, lambda v, w: v + 1, "{v} + 1"),
         Semiring("cc", False, None, None, lambda v, w: v, "{v}"),
     )

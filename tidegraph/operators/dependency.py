@@ -7,13 +7,17 @@ own. A parent changes only with a strict improvement, so the parents always form
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidegraph.functions.semiring import Semiring
 from tidegraph.session import Scratch
 
-NO_LEVEL = 32767
+NO_LEVEL = 2147483646
+#: Tables of improvements that a fixpoint reads side by side before it makes them one.
+OPEN_DELTAS = 8
 
 
 def start(vertices: DataFrame, ring: Semiring, source: int | None) -> DataFrame:
@@ -38,8 +42,9 @@ def candidates(frontier: DataFrame, edges: DataFrame, ring: Semiring) -> DataFra
     return best.select("k", "v", new.alias("new"), F.col("b.level").alias("new_level"), F.col("b.parent").alias("new_parent"))
 
 
-def merge(state: DataFrame, arriving: DataFrame, ring: Semiring) -> DataFrame:
-    both = state.select("k", "v", "val", "level", "parent").join(arriving, ["k", "v"], "left")
+def merge(state: DataFrame, arriving: DataFrame, ring: Semiring, how: str = "left") -> DataFrame:
+    """State after taking over better values; ``how`` inner leaves only the vertices at which something arrives."""
+    both = state.select("k", "v", "val", "level", "parent").join(arriving, ["k", "v"], how)
     better = F.coalesce(ring.improves(F.col("new"), F.col("val")), F.lit(False))
     pick = lambda new, old: F.when(better, F.col(new)).otherwise(F.col(old)).alias(old)
     return both.select("k", "v", pick("new", "val"), pick("new_level", "level"), pick("new_parent", "parent"), better.alias("changed"))
@@ -51,16 +56,38 @@ def _cut_counting(df: DataFrame, scratch: Scratch, name: str, counted: Column) -
     return out, seen.get["n"]
 
 
+STATE = ("k", "v", "val", "level", "parent")
+
+
 def relax(state: DataFrame, frontier: DataFrame, edges: DataFrame, ring: Semiring, scratch: Scratch) -> DataFrame:
-    """Rounds over ``edges`` (all of them alive) until nothing improves."""
-    old = None
+    """Rounds over ``edges`` (all of them alive) until nothing improves; each writes only what improved, the state is written at the end."""
+    deltas, first = [], state.select(*STATE)
+
+    def latest() -> DataFrame:
+        rows = reduce(DataFrame.unionByName, deltas)
+        # a later row of a vertex is strictly better than an earlier one
+        by = (F.max_by if ring.maximise else F.min_by)(F.struct("val", "level", "parent"), "val").alias("s")
+        return rows if len(deltas) == 1 else rows.groupBy("k", "v").agg(by).select("k", "v", "s.*")
+
     while True:
-        new, n = _cut_counting(merge(state, candidates(frontier, edges, ring), ring), scratch, "dep", F.col("changed"))
-        scratch.drop(old)
-        state = old = new
+        known = merge(over(first, latest()) if deltas else first, candidates(frontier, edges, ring), ring, "inner")
+        frontier, n = _cut_counting(known.where("changed").select(*STATE), scratch, "dep", F.lit(1))
         if not n:
-            return state.drop("changed")
-        frontier = new.where("changed")
+            break
+        deltas.append(frontier)
+        if len(deltas) > OPEN_DELTAS:
+            one = scratch.cut(latest(), "improved")
+            for d in deltas[:-1]:
+                scratch.drop(d)
+            deltas = [one]
+    return scratch.cut(over(first, latest()), "relaxed") if deltas else first
+
+
+def over(state: DataFrame, rows: DataFrame) -> DataFrame:
+    """state with its rows replaced by those of ``rows`` with the same key."""
+    new = rows.select("k", "v", F.struct("val", "level", "parent").alias("_new"))
+    pick = lambda c: F.when(F.col("_new").isNull(), F.col(c)).otherwise(F.col(f"_new.{c}")).alias(c)
+    return state.join(new, ["k", "v"], "left").select("k", "v", pick("val"), pick("level"), pick("parent"))
 
 
 def cut_by(deleted: DataFrame, state: DataFrame) -> DataFrame:
@@ -73,17 +100,19 @@ def subtree(state: DataFrame, cut: DataFrame, scratch: Scratch) -> DataFrame | N
     """All descendants of ``cut`` in the forest, ``cut`` included; None if it is empty.
 
     Invalidation runs to its end before anything is pulled: a value must never come back from
-    a descendant that is itself about to be reset.
+    a descendant that is itself about to be reset. A vertex has one parent, so it is met a second time only if it is in
+    ``cut`` itself: what was found before is not read again, and plans stay of one size at any depth.
     """
-    level, n = _cut_counting(cut, scratch, "cut", F.lit(1))
-    found: DataFrame | None = None
+    cut, n = _cut_counting(cut, scratch, "cut", F.lit(1))
+    level, paths = cut, []
+    starts = cut.select(F.col("k").alias("_k"), F.col("v").alias("_v"))
     while n:
-        found = level if found is None else found.unionByName(level)
-        above = level.select("k", F.col("v").alias("_p"))
-        below = state.join(above, (state.parent == F.col("_p")) & (state.k == above.k), "left_semi").select("k", "v")
-        below = below.join(found, ["k", "v"], "left_anti")  # a cut vertex below another one is there already
+        paths.append(level.scratch_path)
+        above = level.select(F.col("k").alias("_ka"), F.col("v").alias("_p"))
+        below = state.join(above, (F.col("parent") == F.col("_p")) & (F.col("k") == F.col("_ka")), "left_semi").select("k", "v")
+        below = below.join(starts, (F.col("k") == F.col("_k")) & (F.col("v") == F.col("_v")), "left_anti")
         level, n = _cut_counting(below, scratch, "below", F.lit(1))
-    return found
+    return state.sparkSession.read.schema(cut.schema).parquet(*paths) if paths else None
 
 
 def reset(state: DataFrame, lost: DataFrame, ring: Semiring, source: int | None) -> DataFrame:

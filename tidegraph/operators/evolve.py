@@ -56,6 +56,13 @@ def symmetrize(life: DataFrame, modulus: int = 50, snapshots: int | None = None)
     return out if snapshots is None else out.withColumn("bitmap", bits.bitmap(snapshots))
 
 
+def with_weights(edges: DataFrame, weighted: DataFrame) -> DataFrame:
+    """edges with the weights of ``weighted`` (src, dst, w), in both directions, the least of parallel ones; an edge without a weight keeps its own."""
+    w = weighted.groupBy(F.least("src", "dst").alias("_u"), F.greatest("src", "dst").alias("_v")).agg(F.min("w").alias("_w"))
+    both = edges.join(w, (F.least("src", "dst") == F.col("_u")) & (F.greatest("src", "dst") == F.col("_v")), "left")
+    return both.withColumn("w", F.coalesce("_w", "w").cast("int")).drop("_u", "_v", "_w")
+
+
 def common_edges(edges: DataFrame, snapshots: int) -> DataFrame:
     """Edges alive in every snapshot."""
     return edges.where(bits.common(snapshots))

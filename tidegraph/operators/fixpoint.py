@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -35,27 +37,64 @@ def merge(state: DataFrame, arriving: DataFrame, ring: Semiring) -> DataFrame:
     return both.select("sid", "v", F.when(better, F.col("new")).otherwise(F.col("val")).alias("val"), better.alias("changed"))
 
 
+#: Tables of improvements that a fixpoint reads side by side before it makes them one.
+OPEN_DELTAS = 8
+
+
 def relax(
     state: DataFrame, frontier: DataFrame, edges: DataFrame, ring: Semiring, scratch: Scratch, within_lifetime: bool = True, max_rounds: int | None = None
 ) -> tuple[DataFrame, int]:
     """Fixpoint over ``edges``; returns the state and the number of rounds.
 
-    Each round is one job: its result is written to the shared folder, and an observation on
-    that write says how many values improved.
+    Each round is one job that writes only the rows that improved, which are the next frontier; an observation on
+    that write counts them. The state is read, and written once at the end. As the frontier is a table of its own, a small one
+    is broadcast to the edges, which then stay where they are.
     """
-    rounds, old = 0, None
+    rounds, deltas, first = 0, [], state.select("sid", "v", "val")
+
+    def latest() -> DataFrame:
+        rows = reduce(DataFrame.unionByName, deltas)
+        return rows if len(deltas) == 1 else rows.groupBy("sid", "v").agg(ring.best(F.col("val")).alias("val"))
+
     while max_rounds is None or rounds < max_rounds:
         seen = Observation()
-        merged = merge(state, candidates(frontier, edges, ring, within_lifetime), ring)
-        merged = merged.observe(seen, F.coalesce(F.sum(F.col("changed").cast("long")), F.lit(0)).alias("n"))
-        new = scratch.cut(merged, f"round{rounds}")
+        known = candidates(frontier, edges, ring, within_lifetime).join(first, ["sid", "v"])
+        best = F.col("val")
+        if deltas:
+            known = known.join(latest().withColumnRenamed("val", "over"), ["sid", "v"], "left")
+            best = F.coalesce("over", "val")
+        better = known.where(ring.improves(F.col("new"), best)).select("sid", "v", F.col("new").alias("val"))
+        frontier = scratch.cut(better.observe(seen, F.count("*").alias("n")), f"round{rounds}")
         rounds += 1
-        scratch.drop(old)
-        state = old = new
         if not seen.get["n"]:
             break
-        frontier = new.where("changed").select("sid", "v", "val")
-    return state.select("sid", "v", "val"), rounds
+        deltas.append(frontier)
+        if len(deltas) > OPEN_DELTAS:
+            one = scratch.cut(latest(), "improved")
+            for d in deltas[:-1]:
+                scratch.drop(d)
+            deltas = [one]
+    if not deltas:
+        return first, rounds
+    both = first.join(latest().withColumnRenamed("val", "over"), ["sid", "v"], "left")
+    return scratch.cut(both.select("sid", "v", F.coalesce("over", "val").alias("val")), "relaxed"), rounds
+
+
+def relax_compressed(base: DataFrame, overrides: DataFrame, frontier: DataFrame, edges: DataFrame, ring: Semiring, scratch: Scratch) -> DataFrame:
+    """Fixpoint over compressed state: base (v, val), shared by all snapshots, and overrides (sid, v, val).
+
+    A value that improves in a snapshot becomes an override there; no row is made for snapshots that keep the base value.
+    Returns the overrides.
+    """
+    b = base.select("v", F.col("val").alias("base_val"))
+    while True:
+        seen = Observation()
+        known = candidates(frontier, edges, ring).join(overrides.withColumnRenamed("val", "over"), ["sid", "v"], "left").join(b, "v")
+        better = known.where(ring.improves(F.col("new"), F.coalesce("over", "base_val"))).select("sid", "v", F.col("new").alias("val"))
+        frontier = scratch.cut(better.observe(seen, F.count("*").alias("n")), "improved")
+        if not seen.get["n"]:
+            return overrides
+        overrides = scratch.cut(overrides.join(frontier, ["sid", "v"], "left_anti").unionByName(frontier), "overrides")
 
 
 def min_max(state: DataFrame) -> DataFrame:

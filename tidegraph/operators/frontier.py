@@ -39,6 +39,15 @@ def active_edges(edges: DataFrame, frontier: DataFrame) -> DataFrame:
     return edges.join(total(frontier), F.col("src") == F.col("v"), "left_semi")
 
 
+def vertex_ranges(degrees: DataFrame, budget: int) -> DataFrame:
+    """(part, first, last, edges): consecutive vertices whose edge lists begin in the same stretch of ``budget`` edges.
+
+    A range holds fewer than ``budget`` edges plus those of its last vertex, so a frequent vertex ends its range.
+    """
+    at = edge_offsets(degrees).withColumn("part", F.floor(F.col("start") / budget).cast("long"))
+    return at.groupBy("part").agg(F.min("v").alias("first"), F.max("v").alias("last"), F.sum("degree").alias("edges"))
+
+
 def edge_offsets(degrees: DataFrame, slices: int = 256) -> DataFrame:
     """Exclusive prefix sum of degrees in vertex order: (v, degree, start).
 

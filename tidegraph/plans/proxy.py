@@ -51,6 +51,14 @@ def proxy_edges(edges: DataFrame, ring: Semiring, cfg: EvolveConfig, scratch: Sc
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).dropDuplicates(["src", "dst", "snap_a"])
 
 
+def hub_hint(edges: DataFrame, core: DataFrame, share: float = 0.05) -> DataFrame:
+    """(v, degree) of one more root worth trying: where the core has less than ``share`` of the snapshot-0 edges, the vertex of highest degree that
+    the core does not touch; no row otherwise."""
+    sparse = core.count() < share * evolve.snapshot_edges(edges, 0).count()
+    touched = core.select(F.inline(F.array(F.struct(F.col("src").alias("v")), F.struct(F.col("dst").alias("v"))))).distinct()
+    return evolve.out_degree(edges).join(touched, "v", "left_anti").orderBy(F.desc("degree"), "v").limit(1 if sparse else 0)
+
+
 def light_edges(edges: DataFrame, share: float = 0.1) -> DataFrame:
     """Snapshot-0 edges whose weight is at most the given exact percentile."""
     first = evolve.snapshot_edges(edges, 0)

@@ -53,6 +53,22 @@ def common_graph(edges: DataFrame, ring: Semiring, cfg: EvolveConfig, scratch: S
     return _spread(state, evolve.noncommon_edges(edges, cfg.snapshots), edges, ring, scratch)
 
 
+def concurrent_common_graph(edges: DataFrame, ring: Semiring, cfg: EvolveConfig, scratch: Scratch) -> DataFrame:
+    """The common graph once, then all snapshots together on compressed state: overrides of the shared values alone are kept.
+
+    Edges that cannot improve any snapshot are left out of the first pass.
+    """
+    v = evolve.vertices(edges)
+    base = scratch.cut(fixpoint.dense_state(v, [0], ring, cfg.source), "init")
+    base = fixpoint.relax(base, _first_frontier(base, ring), evolve.common_edges(edges, cfg.snapshots), ring, scratch, within_lifetime=False)[0].select("v", "val")
+    state = scratch.cut(_all_snapshots(base, _sids(cfg)), "replicated")
+    extra = bounded_edges(evolve.noncommon_edges(edges, cfg.snapshots), state, ring)
+    sent = fixpoint.candidates(_first_frontier(state, ring), extra, ring).join(base, "v")
+    overrides = scratch.cut(sent.where(ring.improves(F.col("new"), F.col("val"))).select("sid", "v", F.col("new").alias("val")), "overrides")
+    overrides = fixpoint.relax_compressed(base, overrides, overrides, edges, ring, scratch)
+    return fixpoint.expand(base, overrides, _sids(cfg))
+
+
 def incremental(edges: DataFrame, ring: Semiring, cfg: EvolveConfig, scratch: Scratch) -> DataFrame:
     """Snapshot after snapshot; deletions repair the dependency forest."""
     first = evolve.snapshot_edges(edges, 0)
@@ -77,4 +93,4 @@ def proxy_two_stage(edges: DataFrame, ring: Semiring, cfg: EvolveConfig, scratch
     return _spread(state, bounded_edges(edges, state, ring), edges, ring, scratch)
 
 
-STRATEGIES = {"reevaluate": reevaluate, "commongraph": common_graph, "incremental": incremental, "proxy": proxy_two_stage}
+STRATEGIES = {"reevaluate": reevaluate, "commongraph": common_graph, "concurrent": concurrent_common_graph, "incremental": incremental, "proxy": proxy_two_stage}
