@@ -11,8 +11,9 @@
 
 Rows with crc32(doc_id) % 5 = 0 are held out: they give no labels, no terms, no votes. doc_id, lang,
 source and labels are no inputs of a score. Defined cases: null and empty texts get the score of a text
-without terms; without any labelled training row the fixed list alone votes; labels that repeat a doc_id count as toxic if
-any of them is; an empty table gives an empty result.
+without terms; a very long text costs time in proportion to its words; without any labelled training row the fixed list alone votes;
+labels that repeat a doc_id count as toxic if any of them is; labels without a doc_id or a value are left out; rows with null or
+repeated doc_ids are each scored; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -161,6 +162,8 @@ def vote_counts(docs: DataFrame, voter: dict[str, int]) -> DataFrame:
 
 
 ANCHOR = 5.0
+#: A fit ends when no probability moves by more.
+STILL = 1e-4
 
 
 def known_votes(sampled: DataFrame, voter: dict[str, int]) -> Counter:
@@ -254,7 +257,11 @@ class LabelModel:
         for k in range(rounds):
             sums = self._sums(lambda v, w: by_parent(v, w, parent), VOTERS * 18, before if before and not k else parent)
             table = 0.1 + sums.reshape(VOTERS, 2, 3, 3) + anchored
-            self.table = table / table.sum(-1, keepdims=True)
+            table /= table.sum(-1, keepdims=True)
+            still = self.table is not None and k and np.abs(table - self.table).max() < STILL
+            self.table = table
+            if still:
+                return
 
     def _tree(self) -> list[int]:
         """Parents in the maximum spanning tree of the voters' mutual information given the label."""
