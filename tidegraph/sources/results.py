@@ -37,7 +37,7 @@ def save(state: DataFrame, path: str, kind: str = "parquet") -> None:
 
 def processing_total(log: DataFrame) -> DataFrame:
     """(ms): sum of the timings in a table of log lines (value), of any size."""
-    found = F.regexp_extract_all("value", F.lit(r">>Processing finished in ([0-9.]+) \\(ms\\)\\."), 1)
+    found = F.regexp_extract_all("value", F.lit(r">>Processing finished in ([0-9.]+) \(ms\)\."), 1)
     return log.select(F.explode(found).alias("ms")).agg(F.coalesce(F.sum(F.col("ms").cast("double")), F.lit(0.0)).alias("ms"))
 
 
