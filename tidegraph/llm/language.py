@@ -38,8 +38,8 @@ ALPHA, KAPPA, TEMPER = 0.5, 5.0, 200.0
 CODES = {"ara": "ar", "bul": "bg", "ces": "cs", "chi": "zh", "cze": "cs", "dan": "da", "deu": "de", "dut": "nl", "ell": "el", "eng": "en", "est": "et", "fin": "fi", "fra": "fr", "fre": "fr", "ger": "de", "gre": "el", "heb": "he", "hin": "hi", "hrv": "hr", "hun": "hu", "ind": "id", "ita": "it", "jpn": "ja", "kor": "ko", "lav": "lv", "lit": "lt", "nld": "nl", "nor": "no", "pol": "pl", "por": "pt", "ron": "ro", "rum": "ro", "rus": "ru", "slk": "sk", "slo": "sk", "slv": "sl", "spa": "es", "srp": "sr", "swe": "sv", "tha": "th", "tur": "tr", "ukr": "uk", "vie": "vi", "zho": "zh"}
 #: Elements whose content is no text.
 HIDDEN = ("script", "style", "noscript")
-_LOWER = {c: c + 32 for c in range(65, 91)}
 _NAME = re.compile(r"<(html|script|style|noscript)(?![\w-])", re.IGNORECASE)
+_CLOSE = {x: re.compile(f"</{x}", re.IGNORECASE) for x in HIDDEN}
 _LANG = re.compile(r"(?<![\w-])lang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.IGNORECASE)
 WORD = re.compile(r"[^\W\d_]+")
 WORDS_CACHED = 1 << 18
@@ -56,7 +56,6 @@ def grams(word: str) -> list[int]:
 def read_page(html: str) -> tuple[str, str]:
     """The text of a page, and the language that its first html tag with one declares ("" without), in one pass."""
     parts, declared, at, end = [], "", 0, len(html)
-    low = html.translate(_LOWER)  # A-Z alone, so places stay the same
     while at < end:
         start = html.find("<", at)
         if start < 0:
@@ -70,14 +69,14 @@ def read_page(html: str) -> tuple[str, str]:
             continue
         stop = html.find(">", start)
         stop = end if stop < 0 else stop
-        name = _NAME.match(html, start)
+        name = _NAME.match(html, start) if html[start + 1 : start + 2] in "hHsSnN" else None
         tag = name[1].lower() if name else ""
         if tag == "html" and not declared and (said := _LANG.search(html, name.end(), stop)):
             declared = CODES.get(said[1].lower(), said[1].lower())
         at = min(stop + 1, end)
         if tag in HIDDEN:
-            close = low.find(f"</{tag}", at)
-            at = end if close < 0 else close
+            close = _CLOSE[tag].search(html, at)
+            at = close.start() if close else end
     return markup.unescape(" ".join(parts)), declared
 
 
