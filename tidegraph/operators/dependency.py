@@ -7,8 +7,6 @@ own. A parent changes only with a strict improvement, so the parents always form
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -31,20 +29,27 @@ def _root_level(root: Column) -> Column:
     return F.when(root, 0).otherwise(NO_LEVEL).cast("int")
 
 
+def _order(ring: Semiring, val: Column) -> Column:
+    return -val if ring.maximise else val
+
+
+def sent(frontier: DataFrame, edges: DataFrame, ring: Semiring) -> DataFrame:
+    """(k, v, b): what reached vertices send along each edge; b sorts by value, then level, then parent."""
+    value = ring.extend(F.col("val"), F.col("w")).cast("long")
+    arriving = F.struct(_order(ring, value).alias("o"), (F.col("level") + 1).cast("int").alias("level"), F.col("src").alias("parent"))
+    rows = frontier.where(ring.reached(F.col("val"))).join(edges, frontier.v == edges.src)
+    return rows.select("k", F.col("dst").alias("v"), arriving.alias("b"))
+
+
 def candidates(frontier: DataFrame, edges: DataFrame, ring: Semiring) -> DataFrame:
     """Best arriving (val, level, parent) per (k, vertex): best value, then lowest level, then lowest parent."""
-    value = ring.extend(F.col("val"), F.col("w")).cast("long")
-    order = -value if ring.maximise else value
-    arriving = F.struct(order.alias("o"), (F.col("level") + 1).cast("int").alias("level"), F.col("src").alias("parent"))
-    sent = frontier.where(ring.reached(F.col("val"))).join(edges, frontier.v == edges.src)
-    best = sent.groupBy("k", F.col("dst").alias("v")).agg(F.min(arriving).alias("b"))
-    new = -F.col("b.o") if ring.maximise else F.col("b.o")
-    return best.select("k", "v", new.alias("new"), F.col("b.level").alias("new_level"), F.col("b.parent").alias("new_parent"))
+    best = sent(frontier, edges, ring).groupBy("k", "v").agg(F.min("b").alias("b"))
+    return best.select("k", "v", _order(ring, F.col("b.o")).alias("new"), F.col("b.level").alias("new_level"), F.col("b.parent").alias("new_parent"))
 
 
-def merge(state: DataFrame, arriving: DataFrame, ring: Semiring, how: str = "left") -> DataFrame:
-    """State after taking over better values; ``how`` inner leaves only the vertices at which something arrives."""
-    both = state.select("k", "v", "val", "level", "parent").join(arriving, ["k", "v"], how)
+def merge(state: DataFrame, arriving: DataFrame, ring: Semiring) -> DataFrame:
+    """State after taking over better values; ``changed`` marks them."""
+    both = state.select("k", "v", "val", "level", "parent").join(arriving, ["k", "v"], "left")
     better = F.coalesce(ring.improves(F.col("new"), F.col("val")), F.lit(False))
     pick = lambda new, old: F.when(better, F.col(new)).otherwise(F.col(old)).alias(old)
     return both.select("k", "v", pick("new", "val"), pick("new_level", "level"), pick("new_parent", "parent"), better.alias("changed"))
@@ -60,34 +65,37 @@ STATE = ("k", "v", "val", "level", "parent")
 
 
 def relax(state: DataFrame, frontier: DataFrame, edges: DataFrame, ring: Semiring, scratch: Scratch) -> DataFrame:
-    """Rounds over ``edges`` (all of them alive) until nothing improves; each writes only what improved, the state is written at the end."""
-    deltas, first = [], state.select(*STATE)
+    """Rounds over ``edges`` (all of them alive) until nothing improves; each writes only what improved, the state is written at the end.
 
-    def latest() -> DataFrame:
-        rows = reduce(DataFrame.unionByName, deltas)
+    As in fixpoint.relax(), what a vertex has and what it is sent meet in one aggregation.
+    """
+    deltas: list[DataFrame] = []
+
+    def known(tables: list[DataFrame]) -> DataFrame:
         # a later row of a vertex is strictly better than an earlier one
-        by = (F.max_by if ring.maximise else F.min_by)(F.struct("val", "level", "parent"), "val").alias("s")
-        return rows if len(deltas) == 1 else rows.groupBy("k", "v").agg(by).select("k", "v", "s.*")
+        own = F.struct(_order(ring, F.col("val")).alias("o"), "level", "parent").alias("a")
+        return scratch.together(tables, list(STATE)).select("k", "v", own)
+
+    def plain(rows: DataFrame, at: str) -> DataFrame:
+        return rows.select("k", "v", _order(ring, F.col(f"{at}.o")).alias("val"), f"{at}.level", f"{at}.parent")
+
+    def latest(tables: list[DataFrame]) -> DataFrame:
+        return plain(known(tables).groupBy("k", "v").agg(F.min("a").alias("a")), "a")
 
     while True:
-        known = merge(over(first, latest()) if deltas else first, candidates(frontier, edges, ring), ring, "inner")
-        frontier, n = _cut_counting(known.where("changed").select(*STATE), scratch, "dep", F.lit(1))
+        both = known([state, *deltas]).unionByName(sent(frontier, edges, ring), allowMissingColumns=True)
+        met = both.groupBy("k", "v").agg(F.min("a").alias("a"), F.min("b").alias("b"))
+        better = plain(met.where(ring.improves(_order(ring, F.col("b.o")), _order(ring, F.col("a.o")))), "b")
+        frontier, n = _cut_counting(better, scratch, "dep", F.lit(1))
         if not n:
             break
         deltas.append(frontier)
         if len(deltas) > OPEN_DELTAS:
-            one = scratch.cut(latest(), "improved")
+            one = scratch.cut(latest(deltas), "improved")
             for d in deltas[:-1]:
                 scratch.drop(d)
             deltas = [one]
-    return scratch.cut(over(first, latest()), "relaxed") if deltas else first
-
-
-def over(state: DataFrame, rows: DataFrame) -> DataFrame:
-    """state with its rows replaced by those of ``rows`` with the same key."""
-    new = rows.select("k", "v", F.struct("val", "level", "parent").alias("_new"))
-    pick = lambda c: F.when(F.col("_new").isNull(), F.col(c)).otherwise(F.col(f"_new.{c}")).alias(c)
-    return state.join(new, ["k", "v"], "left").select("k", "v", pick("val"), pick("level"), pick("parent"))
+    return scratch.cut(latest([state, *deltas]), "relaxed") if deltas else state.select(*STATE)
 
 
 def cut_by(deleted: DataFrame, state: DataFrame) -> DataFrame:
@@ -143,4 +151,4 @@ def advance(state: DataFrame, alive: DataFrame, added: DataFrame, deleted: DataF
         inward = alive.join(lost.select(F.col("v").alias("_v")), F.col("dst") == F.col("_v"), "left_semi")
         edges = edges.unionByName(inward.select("src", "dst", "w"))
     first, n = _cut_counting(merge(state, candidates(state, edges, ring), ring), scratch, "pull", F.col("changed"))
-    return relax(first.drop("changed"), first.where("changed"), alive, ring, scratch) if n else first.drop("changed")
+    return relax(first, first.where("changed"), alive, ring, scratch) if n else first.drop("changed")

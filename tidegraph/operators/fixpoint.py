@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -18,16 +16,20 @@ def dense_state(vertices: DataFrame, sids: list[int], ring: Semiring, source: in
     return grid.select("sid", "v", ring.initial(F.col("v"), source).alias("val"))
 
 
-def candidates(frontier: DataFrame, edges: DataFrame, ring: Semiring, within_lifetime: bool = True) -> DataFrame:
-    """Best value that the frontier (sid, v, val) sends to each (sid, dst).
+def sent(frontier: DataFrame, edges: DataFrame, ring: Semiring, within_lifetime: bool = True) -> DataFrame:
+    """(sid, v, new): what the frontier (sid, v, val) sends along each edge.
 
     One pass over an edge serves all snapshots: sid is part of the key, not of the plan.
     """
-    sent = frontier.join(edges, frontier.v == edges.src)
+    rows = frontier.join(edges, frontier.v == edges.src)
     if within_lifetime:
-        sent = sent.where(bits.alive(F.col("sid")))
-    value = ring.extend(F.col("val"), F.col("w")).cast("long")
-    return sent.groupBy("sid", F.col("dst").alias("v")).agg(ring.best(value).alias("new"))
+        rows = rows.where(bits.alive(F.col("sid")))
+    return rows.select("sid", F.col("dst").alias("v"), ring.extend(F.col("val"), F.col("w")).cast("long").alias("new"))
+
+
+def candidates(frontier: DataFrame, edges: DataFrame, ring: Semiring, within_lifetime: bool = True) -> DataFrame:
+    """Best value that the frontier (sid, v, val) sends to each (sid, dst)."""
+    return sent(frontier, edges, ring, within_lifetime).groupBy("sid", "v").agg(ring.best(F.col("new")).alias("new"))
 
 
 def merge(state: DataFrame, arriving: DataFrame, ring: Semiring) -> DataFrame:
@@ -42,42 +44,44 @@ OPEN_DELTAS = 8
 
 
 def relax(
-    state: DataFrame, frontier: DataFrame, edges: DataFrame, ring: Semiring, scratch: Scratch, within_lifetime: bool = True, max_rounds: int | None = None
+    state: DataFrame,
+    frontier: DataFrame,
+    edges: DataFrame,
+    ring: Semiring,
+    scratch: Scratch,
+    within_lifetime: bool = True,
+    max_rounds: int | None = None,
+    first_edges: DataFrame | None = None,
 ) -> tuple[DataFrame, int]:
     """Fixpoint over ``edges``; returns the state and the number of rounds.
 
-    Each round is one job that writes only the rows that improved, which are the next frontier; an observation on
-    that write counts them. The state is read, and written once at the end. As the frontier is a table of its own, a small one
-    is broadcast to the edges, which then stay where they are.
+    The first round goes over ``first_edges`` instead, if given. Each round is one job that writes only the rows that
+    improved, which are the next frontier; an observation on that write counts them. What a vertex has (the state and the
+    improvements so far) and what it is sent meet in one aggregation: one shuffle a round, combined before it, and no sort.
+    As the frontier is a table of its own, a small one is broadcast to the edges, which then stay where they are.
     """
-    rounds, deltas, first = 0, [], state.select("sid", "v", "val")
+    rounds, deltas, columns = 0, [], ["sid", "v", "val"]
 
-    def latest() -> DataFrame:
-        rows = reduce(DataFrame.unionByName, deltas)
-        return rows if len(deltas) == 1 else rows.groupBy("sid", "v").agg(ring.best(F.col("val")).alias("val"))
+    def latest(tables: list[DataFrame]) -> DataFrame:
+        return scratch.together(tables, columns).groupBy("sid", "v").agg(ring.best(F.col("val")).alias("val"))
 
     while max_rounds is None or rounds < max_rounds:
         seen = Observation()
-        known = candidates(frontier, edges, ring, within_lifetime).join(first, ["sid", "v"])
-        best = F.col("val")
-        if deltas:
-            known = known.join(latest().withColumnRenamed("val", "over"), ["sid", "v"], "left")
-            best = F.coalesce("over", "val")
-        better = known.where(ring.improves(F.col("new"), best)).select("sid", "v", F.col("new").alias("val"))
+        over = edges if rounds or first_edges is None else first_edges
+        both = scratch.together([state, *deltas], columns).unionByName(sent(frontier, over, ring, within_lifetime), allowMissingColumns=True)
+        met = both.groupBy("sid", "v").agg(ring.best(F.col("val")).alias("val"), ring.best(F.col("new")).alias("new"))
+        better = met.where(ring.improves(F.col("new"), F.col("val"))).select("sid", "v", F.col("new").alias("val"))
         frontier = scratch.cut(better.observe(seen, F.count("*").alias("n")), f"round{rounds}")
         rounds += 1
         if not seen.get["n"]:
             break
         deltas.append(frontier)
         if len(deltas) > OPEN_DELTAS:
-            one = scratch.cut(latest(), "improved")
+            one = scratch.cut(latest(deltas), "improved")
             for d in deltas[:-1]:
                 scratch.drop(d)
             deltas = [one]
-    if not deltas:
-        return first, rounds
-    both = first.join(latest().withColumnRenamed("val", "over"), ["sid", "v"], "left")
-    return scratch.cut(both.select("sid", "v", F.coalesce("over", "val").alias("val")), "relaxed"), rounds
+    return (scratch.cut(latest([state, *deltas]), "relaxed") if deltas else state.select(columns)), rounds
 
 
 def relax_compressed(base: DataFrame, overrides: DataFrame, frontier: DataFrame, edges: DataFrame, ring: Semiring, scratch: Scratch) -> DataFrame:

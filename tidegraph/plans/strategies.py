@@ -39,9 +39,7 @@ def _all_snapshots(base: DataFrame, sids: list[int]) -> DataFrame:
 
 def _spread(state: DataFrame, first_edges: DataFrame, edges: DataFrame, ring: Semiring, scratch: Scratch) -> DataFrame:
     """One pass of every reached value over first_edges, then rounds over edges."""
-    frontier = _first_frontier(state, ring)
-    merged = scratch.cut(fixpoint.merge(state, fixpoint.candidates(frontier, first_edges, ring), ring), "pass")
-    return fixpoint.relax(merged, merged.where("changed").select("sid", "v", "val"), edges, ring, scratch)[0]
+    return fixpoint.relax(state, _first_frontier(state, ring), edges, ring, scratch, first_edges=first_edges)[0]
 
 
 def common_graph(edges: DataFrame, ring: Semiring, cfg: EvolveConfig, scratch: Scratch) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -48,6 +49,16 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def together(self, tables: list[DataFrame], columns: list[str]) -> DataFrame:
+        """These columns of all tables. Those that cut() wrote are read in one scan, so many small ones cost few tasks."""
+        kinds = {c: k for c, k in tables[0].dtypes if c in columns}
+        same = [t for t in tables if hasattr(t, "scratch_path") and kinds.items() <= dict(t.dtypes).items()]
+        out = [t.select(columns) for t in tables if not any(t is s for s in same)]
+        if same:
+            schema = same[0].select(columns).schema
+            out.append(self.spark.read.schema(schema).parquet(*(t.scratch_path for t in same)))
+        return reduce(DataFrame.unionByName, out)
+
     def drop(self, df: DataFrame | None) -> None:
         """Delete a table written by cut()."""
         path = getattr(df, "scratch_path", None)
