@@ -388,8 +388,10 @@ def near_rows():
     return rows
 
 
+@pytest.mark.parametrize("split", [ngram_join.SPLIT_ROWS, 3], ids=["whole", "split"])
 @pytest.mark.parametrize("rows", [SOME, near_rows()], ids=["odd", "near"])
-def test_ngram_join_equals_all_pairs(spark, rows):
+def test_ngram_join_equals_all_pairs(spark, monkeypatch, rows, split):
+    monkeypatch.setattr(ngram_join, "SPLIT_ROWS", split)
     got = ngram_join.near_components(spark.createDataFrame(rows, DOCS), Scratch(spark, "t")).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 

@@ -52,6 +52,8 @@ WORDS_CACHED = 1 << 18
 SALT_ROWS = 20_000
 #: Rounds in which one more leader of each unsettled group is compared, before all pairs that are left.
 ROUNDS = 2
+#: Rows of one shingle that are still compared in one task; the rows of a more frequent one are dealt to a task per so many.
+SPLIT_ROWS = 1_000
 #: 64-bit words of the parity bitmap of a set.
 SIG_WORDS = 8
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -395,6 +397,14 @@ def links(rows: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFram
     return done.where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
 
 
+def _meet(many: DataFrame, few: DataFrame, hot: DataFrame, by: str) -> DataFrame:
+    """many joined with few on h. Rows of many whose h is in hot (_h, salts) are dealt by ``by`` to as many tasks as it has salts, each of which gets all of few's rows of that h."""
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = many.join(hot, F.col("h") == F.col("_h"), "left").withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_h", "salts")
+    copies = few.join(hot, F.col("h") == F.col("_h"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_h", "salts")
+    return dealt.join(copies, ["h", "salt"]).drop("salt")
+
+
 def _across(around: DataFrame, comp: DataFrame, done: DataFrame, scratch: Scratch, percent: int, all_pairs: bool) -> DataFrame:
     """Pairs (lead, node) of different components in a posting group that may link and were not compared yet.
 
@@ -402,19 +412,22 @@ def _across(around: DataFrame, comp: DataFrame, done: DataFrame, scratch: Scratc
     largest mass of those that are not in the component of the group's first leader.
     """
     rooted = around.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    spread = rooted.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("h")
-    rooted = scratch.cut(rooted.join(spread, "h", "left_semi"), "rooted")
+    spread = rooted.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("rows")).where("r0 <> r1").select("h", "rows")
+    spread = scratch.cut(spread, "spread")
+    hot = checked(spread.where(F.col("rows") > SPLIT_ROWS).select(F.col("h").alias("_h"), F.ceil(F.col("rows") / SPLIT_ROWS).cast("int").alias("salts")))
+    rooted = scratch.cut(rooted.join(spread.select("h"), "h", "left_semi"), "rooted")
     far = rooted.where(~F.col("near"))
     if not all_pairs:
         home = rooted.where("top").groupBy("h").agg(F.first("root").alias("home"))
-        far = far.join(home, "h").where("root <> home").groupBy("h").agg(F.max(F.struct("mass", *(c for c in rooted.columns if c not in ("h", "mass")))).alias("f")).select("h", "f.*")
+        far = _meet(far, home, hot, "node").where("root <> home").groupBy("h").agg(F.max(F.struct("mass", *(c for c in rooted.columns if c not in ("h", "mass")))).alias("f")).select("h", "f.*")
     a = far.select("h", *(F.col(c).alias(f"{c}_x") for c in rooted.columns if c not in ("h", "mass", "top", "near")))
     b = rooted.select("h", "near", *(F.col(c).alias(f"{c}_y") for c in rooted.columns if c not in ("h", "mass", "top", "near")))
     once = F.lit(True) if not all_pairs else F.col("near") | (F.col("node_x") < F.col("node_y"))
     apart = F.abs(F.col("dist_x") - F.col("dist_y")) > 1 - percent / 100 + 1e-9
     # the first shingle that two sets share leaves room for as many as come after it in both
     room = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
-    pairs = a.join(b, "h").where(
+    met = _meet(a, b, hot, "node_x") if all_pairs else _meet(b, a, hot, "node_y")
+    pairs = met.where(
         once & (F.col("root_x") != F.col("root_y")) & ~F.coalesce(apart, F.lit(False)) & (room * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent) & _may_link("x", "y", percent)
     )
     seen = done.select(F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node"))
