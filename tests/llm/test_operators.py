@@ -392,6 +392,7 @@ def near_rows():
 @pytest.mark.parametrize("rows", [SOME, near_rows()], ids=["odd", "near"])
 def test_ngram_join_equals_all_pairs(spark, monkeypatch, rows, split):
     monkeypatch.setattr(ngram_join, "SPLIT_ROWS", split)
+    monkeypatch.setattr(ngram_join, "SALT_ROWS", min(split, ngram_join.SALT_ROWS))
     got = ngram_join.near_components(spark.createDataFrame(rows, DOCS), Scratch(spark, "t")).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 

@@ -48,8 +48,8 @@ FRAGMENTS = 4
 COUNT_CAP = 8  # what one chunk adds at most to a shingle's count; it orders shingles and decides nothing else
 CHUNK_SHINGLES = 1_000_000
 WORDS_CACHED = 1 << 18
-#: Members of one leader are dealt to one more task per so many.
-SALT_ROWS = 20_000
+#: Members of one leader are dealt to one more task per so many; each gets the leader's segment too, one row more.
+SALT_ROWS = 256
 #: Rounds in which one more leader of each unsettled group is compared, before all pairs that are left.
 ROUNDS = 2
 #: Rows of one shingle that are still compared in one task; the rows of a more frequent one are dealt to a task per so many.
