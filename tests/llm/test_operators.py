@@ -570,6 +570,26 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.toxicity(df.limit(0), lab).count() == 0
 
 
+def test_toxicity_by_ends_of_words_and_harmless_beginnings(spark):
+    """Toxic words share only their end or inside; some harmless words begin as an insult does."""
+    syllables = "ba de fi go ku la me ni po ru sa te vi zo".split()
+    rows, labels = [], []
+    for i in range(1200):
+        bad = i % 8 == 0
+        made = "".join(rnd.sample(syllables, 3))
+        extra = made + ("grux" if i % 16 else "drolm" + rnd.choice(syllables)) if bad else "loser"[:4] + made if i % 8 == 1 else made
+        rows.append((i, f"{prose(30)} {extra} {prose(10)}" if i % 24 else f"loser {prose(40)} loser", "en", "s", 0))
+        labels.append((i, 1, int(bad)))
+    got = toxicity.toxicity(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("held_out").collect()
+    right = {bad: [r.predicted == bad for r in got if (r.doc_id % 8 == 0) == bad] for bad in (True, False)}
+    assert sum(right[True]) >= 0.9 * len(right[True]) and sum(right[False]) >= 0.98 * len(right[False])
+
+
+def test_labels_outweigh_votes_in_targets():
+    got = toxicity.targets(np.array([0.0, 0.5, 1.0, 0.0, 0.5, 1.0]), np.array([0, 0, 0, 1, 1, 1]))
+    assert (np.diff(got) > 0).all() and (got[:3] < 0.5).all() and (got[3:] > 0.5).all()
+
+
 def test_label_model_counts_every_pattern_as_cast(spark):
     rng = random.Random(14)
     V = toxicity.VOTERS

@@ -1,13 +1,15 @@
 """Toxicity by weak supervision.
 
-1. Terms (words and word stems) that mark toxic texts are mined from a bounded sample of labelled training
+1. Terms (words, their beginnings, ends and inner pieces) that mark toxic texts are mined from a bounded sample of labelled training
    rows (``sample_rows``), beside a fixed list of common insults.
 2. Voters: groups of those terms and patterns over them vote toxic, clean or nothing on every
    training document. Votes are counted by pattern over all training documents.
 3. A generative label model, fitted on the pattern counts by expectation maximisation, estimates each voter's
    accuracy and the correlation between voters: every voter depends on the label and on the voter it is most
    tied to (a maximum spanning tree of conditional mutual information).
-4. A linear classifier on term presence is trained on the posterior labels of the sample and scores all texts.
+4. A linear classifier on the share of terms among a text's words is trained on the sample and scores all texts. Its targets
+   join what the label model says of a row's votes with the row's own label, which weighs more than all votes: a piece of a
+   word that also begins harmless words (lose* of "loser") votes toxic, but the labels show in which texts it is not.
 
 Rows with crc32(doc_id) % 5 = 0 are held out: they give no labels, no terms, no votes. doc_id, lang,
 source and labels are no inputs of a score. Defined cases: null and empty texts get the score of a text
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 
@@ -32,7 +35,14 @@ from tidegraph.session import Scratch
 #: Common English insults.
 INSULTS = ("idiot", "moron", "scum", "stupid", "trash", "loser", "worthless", "pathetic", "disgusting", "clown", "imbecile", "filth", "vermin", "retard", "bastard")
 TOKEN = re.compile(r"[^\W_]+")
-STEMS = (4, 5, 6)
+#: Lengths of the beginnings, ends and inner pieces of words that are terms.
+STEMS, ENDS, INNER = (3, 4, 5, 6, 7, 8), (3, 4, 5, 6), 5
+#: A term that makes up one word of so many counts in full.
+FULL_SHARE = 50
+#: Log odds: the most that all votes say of a sampled row, and what its label says.
+VOTES_SAY, LABEL_SAYS = 2.2, 4.0
+#: Log likelihood ratio that a mined term needs to vote: the most that chance gives any of some thousand terms.
+CHANCE = 8.0
 SAMPLE_ROWS = 12_000
 TERMS = 3_000
 LEXICON_GROUPS = 8
@@ -45,8 +55,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def word_terms(word: str) -> list[str]:
-    """The terms of a word: itself, and its stems marked by a star."""
-    return [word] + [word[:n] + "*" for n in STEMS if len(word) > n]
+    """The terms of a word: itself, and its pieces, with a star where the word goes on."""
+    n = len(word)
+    out = [word] + [word[:k] + "*" for k in STEMS if k < n] + ["*" + word[-k:] for k in ENDS if k < n]
+    return out + [f"*{word[i : i + INNER]}*" for i in range(1, n - INNER)]
+
+
+def text_terms(word: str) -> list[str]:
+    """The terms of what stands between two spaces, in composed lower case."""
+    return [t for x in TOKEN.findall(unicodedata.normalize("NFKC", word).lower()) for t in word_terms(x)]
 
 
 @dataclass
@@ -63,21 +80,21 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_seen": {}}
 
-    def present(self, text: str) -> set[int]:
-        """Indexes of the terms in a text."""
-        seen, found = self._seen, set()
+    def present(self, text: str) -> dict[int, float]:
+        """Indexes of the terms in a text, each with the root of its share among the words, 1 from one in FULL_SHARE on."""
+        seen, found, words = self._seen, {}, text.split()
         if len(seen) > WORDS_CACHED:
             seen.clear()
-        for w in set(text.split()):
+        for w, c in Counter(words).items():
             got = seen.get(w)
             if got is None:
-                got = seen[w] = tuple({i for x in TOKEN.findall(w.lower()) for t in word_terms(x) if (i := self.index.get(t)) is not None})
-            if got:
-                found.update(got)
-        return found
+                got = seen[w] = tuple({i for t in text_terms(w) if (i := self.index.get(t)) is not None})
+            for i in got:
+                found[i] = found.get(i, 0) + c
+        return {i: min(1.0, math.sqrt(FULL_SHARE * c / len(words))) for i, c in found.items()}
 
     def score(self, text: str) -> float:
-        x = self.bias + sum(self.weights[i] for i in self.present(text))
+        x = self.bias + sum(self.weights[i] * v for i, v in self.present(text).items())
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
@@ -97,8 +114,7 @@ def mine(sampled: DataFrame, terms: int = TERMS) -> list[tuple[str, int, int]]:
         pos, neg = Counter(), Counter()
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = {t for w in set(TOKEN.findall((text or "").lower())) for t in word_terms(w)}
-                (pos if toxic else neg).update(found)
+                (pos if toxic else neg).update({t for w in set((text or "").split()) for t in text_terms(w)})
         names = list(pos.keys() | neg.keys())
         for at in range(0, len(names), 50_000):
             part = names[at : at + 50_000]
@@ -108,6 +124,7 @@ def mine(sampled: DataFrame, terms: int = TERMS) -> list[tuple[str, int, int]]:
     n1, n0 = (x or 0 for x in sampled.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
     odds = F.log((F.col("pos") + 0.5) / (n1 + 1.0)) - F.log((F.col("neg") + 0.5) / (n0 + 1.0))
     scored = got.where("pos + neg >= 2").withColumn("s", odds * F.sqrt(F.col("pos") + 0.1 * F.col("neg")))
+    scored = Scratch(sampled.sparkSession, "terms").cut(scored, "scored")
     best = scored.orderBy(F.desc("s"), "term").limit(terms * 2 // 3).collect()
     least = scored.orderBy("s", "term").limit(terms // 3).collect()
     return [(r.term, r.pos, r.neg) for r in {r.term: r for r in best + least}.values()]
@@ -116,7 +133,12 @@ def mine(sampled: DataFrame, terms: int = TERMS) -> list[tuple[str, int, int]]:
 def make_voters(mined: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> dict[str, int]:
     """Lexicon voter of each term that marks toxic texts: insults one by one, mined terms dealt by rank."""
     voter = {t: k for k, t in enumerate(INSULTS[:10])} | {t: 9 for t in INSULTS[10:]}
-    strong = [(t, p, n) for t, p, n in mined if p >= 2 and (p + 0.5) / (n_pos + 1) > 20 * (n + 0.5) / (n_neg + 1)]
+    share = (n_pos + 0.5) / (n_pos + n_neg + 1)
+
+    def told(p: int, n: int) -> float:
+        return p * math.log(p / (p + n) / share) + (n * math.log(n / (p + n) / (1 - share)) if n else 0.0)
+
+    strong = [(t, p, n) for t, p, n in mined if p >= 2 and (p + 0.5) / (n_pos + 1) > 20 * (n + 0.5) / (n_neg + 1) and told(p, n) > CHANCE]
     for k, (t, _, _) in enumerate(x for x in strong if x[0] not in voter):
         voter[t] = 10 + k % LEXICON_GROUPS
     return voter
@@ -131,7 +153,7 @@ def votes(text: str, voter: dict[str, int], seen: dict) -> int:
     for w in words:
         got = seen.get(w)
         if got is None:
-            got = seen[w] = tuple({voter[t] for x in TOKEN.findall(w.lower()) for t in word_terms(x) if t in voter})
+            got = seen[w] = tuple({voter[t] for t in text_terms(w) if t in voter})
         if got:
             hits.extend(got)
     v = [0] * VOTERS
@@ -312,27 +334,41 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, te
         seen = {}
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"terms": pa.array([sorted(model.present(t)) for t in texts], pa.list_(pa.int32())), "pattern": pa.array([votes(t, voter, seen) for t in texts], pa.int64())})
-
-    rows = sampled.select("text").mapInArrow(features, "terms array<int>, pattern long").collect()  # at most sample_rows
+            found = [model.present(t) for t in texts]
+            columns = {
+                "terms": pa.array([list(x) for x in found], pa.list_(pa.int32())),
+                "shares": pa.array([list(x.values()) for x in found], pa.list_(pa.float32())),
+                "pattern": pa.array([votes(t, voter, seen) for t in texts], pa.int64()),
+                "toxic": b.column(1),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
+    rows = sampled.select("text", "toxic").mapInArrow(features, "terms array<int>, shares array<float>, pattern long, toxic int").collect()  # at most sample_rows
     if rows:
-        soft = label_model.posterior([r.pattern for r in rows])
-        cols = np.concatenate([np.array(r.terms, int) for r in rows]) if any(r.terms for r in rows) else np.zeros(0, int)
+        said = label_model.posterior([r.pattern for r in rows])
+        soft = targets(said, np.array([r.toxic for r in rows]))
+        cols, shares = (np.concatenate([np.zeros(0, k), *(np.array(r[name], k) for r in rows)]) for name, k in (("terms", int), ("shares", float)))
         ptr = np.repeat(np.arange(len(rows)), [len(r.terms) for r in rows])
-        model.weights, model.bias = logistic(ptr, cols, soft, len(names), epochs)
+        model.weights, model.bias = logistic(ptr, cols, shares, soft, len(names), epochs)
     else:
         model.weights[: len(INSULTS)], model.bias = 4.0, -2.0
     return model, label_model
 
 
-def logistic(row: np.ndarray, col: np.ndarray, y: np.ndarray, terms: int, epochs: int, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias on soft labels: full-batch gradient steps scaled per term (Adagrad), so rare terms learn too."""
+def targets(said: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """P(toxic) of sampled rows by their votes and their labels."""
+    odds = np.log(np.clip(said, 1e-9, None)) - np.log(np.clip(1 - said, 1e-9, None))
+    return 1 / (1 + np.exp(-np.clip(odds, -VOTES_SAY, VOTES_SAY) - np.where(label > 0, LABEL_SAYS, -LABEL_SAYS)))
+
+
+def logistic(row: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, terms: int, epochs: int, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias on soft labels and values x of the terms: full-batch gradient steps scaled per term (Adagrad), so rare terms learn too."""
     w, b = np.zeros(terms), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     gw, gb = np.full(terms, 1e-8), 1e-8
     for _ in range(epochs):
-        z = b + np.bincount(row, w[col], minlength=len(y))
+        z = b + np.bincount(row, w[col] * x, minlength=len(y))
         err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.bincount(col, err[row], minlength=terms) / len(y) + l2 * w
+        g = np.bincount(col, err[row] * x, minlength=terms) / len(y) + l2 * w
         gw += g * g
         w -= 0.3 * g / np.sqrt(gw)
         d = err.mean()
