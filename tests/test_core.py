@@ -57,6 +57,21 @@ def test_strategies_agree_with_plain_relaxation(spark, name):
         assert got == want, plan
 
 
+def test_rounds_need_no_rows_of_unreached_vertices(spark):
+    """The same values from a state of the source alone as from one with a row for each vertex."""
+    edges = spark.createDataFrame([(a, b, (a + b) % 7 + 1, 0, 9) for x in ((2, 3), (3, 5), (5, 8), (8, 2), (20, 21)) for a, b in (x, x[::-1])], "src long, dst long, w int, snap_a int, snap_d int")
+    for name in ("ssnp", "sswp"):
+        ring, scratch = SEMIRINGS[name], Scratch(spark, "t")
+        dense = fixpoint.dense_state(evolve.vertices(edges), [0], ring, 2)
+        own = dependency.start(evolve.vertices(edges), ring, 2)
+        met = lambda df: {(r.v, r.val) for r in df.where(ring.reached(F.col("val"))).collect()}
+        want = met(fixpoint.relax(dense, dense, edges, ring, scratch)[0])
+        assert {v for v, _ in want} == {2, 3, 5, 8}
+        few, roots = dense.where("v = 2"), own.where("v = 2")
+        assert met(fixpoint.relax(few, few, edges, ring, scratch)[0]) == want
+        assert met(dependency.relax(roots, roots, edges, ring, scratch)) == want == met(dependency.relax(own, own, edges, ring, scratch))
+
+
 def test_absent_source_and_single_snapshot(spark):
     edges = spark.createDataFrame([(1, 2, 1, 0, NEVER), (2, 1, 1, 0, NEVER)], "src long, dst long, w int, snap_a int, snap_d int")
     cfg = EvolveConfig(snapshots=0, source=99, roots=2)
