@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidegraph import SEMIRINGS, EvolveConfig, queries, run
+from tidegraph import SEMIRINGS, EvolveConfig, queries, run, session
 from tidegraph.config import INF, NEVER
 from tidegraph.functions import bits
 from tidegraph.functions.semiring import Semiring
@@ -72,6 +72,40 @@ def test_rounds_need_no_rows_of_unreached_vertices(spark):
         assert met(dependency.relax(roots, roots, edges, ring, scratch)) == want == met(dependency.relax(own, own, edges, ring, scratch))
 
 
+@pytest.mark.parametrize("most", [session.LIGHT, 0])
+def test_rounds_leave_out_edges_of_unreached_vertices(spark, monkeypatch, most):
+    """Edges of a far component are not read once no new vertex is met; a vertex met later still sends (4 gives 5 nothing before its second value)."""
+    monkeypatch.setattr(session, "LIGHT", most)
+    near = [(0, 1, 1), (1, 2, 1), (2, 3, 1), (3, 4, 1), (0, 4, 32767), (4, 5, 2), (5, 6, 1)]
+    rows = [(s, d, w, 0, NEVER) for s, d, w in near + [(i, i + 1, 1) for i in range(100, 140)]]
+    edges = spark.createDataFrame(rows, "src long, dst long, w int, snap_a int, snap_d int")
+    vs = spark.createDataFrame([(v,) for v in sorted({x for r in rows for x in r[:2]})], "v long")
+    for name in ("viterbi", "sssp"):
+        ring, one, two = SEMIRINGS[name], Scratch(spark, "t"), Scratch(spark, "t")
+        want = plain(rows, ring, 0, 0, [r.v for r in vs.collect()])
+        dense, own = fixpoint.dense_state(vs, [0], ring, 0), dependency.start(vs, ring, 0)
+        assert {r.v: r.val for r in fixpoint.relax(dense, dense, edges, ring, one)[0].collect()} == want
+        assert {r.v: r.val for r in dependency.relax(own, own, edges, ring, two).collect()} == want
+        for scratch in (one, two):
+            read = [spark.read.parquet(path) for path in scratch.made if path.endswith("-narrow")]
+            assert len(read) == (1 if most else 0)
+            assert all({r.src for r in few.collect()} <= set(range(7)) for few in read)
+
+
+def test_lifetimes_follow_the_ranks(spark):
+    """Against ranks of all rows, with equal hashes and more deletions than are worked out side by side."""
+    pairs = [(i + 1000003 * j, 50 + i) for i in range(12) for j in range(7)]
+    cfg, h = EvolveConfig(snapshots=10, add_percent=3, del_percent=4), lambda seed, e: ((e[0] * 7919 + e[1] * 104729 + seed * 1299709) % 1000003, *e)
+    und = [tuple(sorted(x)) for x in pairs]
+    base, add, gone = cfg.sizes(len(und))
+    want = {e: [max(0, (r - base) // add + 1), NEVER] for r, e in enumerate(sorted(und, key=lambda e: h(cfg.seed, e))) if r < base + 10 * add}
+    for s in range(1, 11):
+        for e in sorted((e for e, (a, d) in want.items() if a < s < d), key=lambda e: h(cfg.seed + s, e))[:gone]:
+            want[e][1] = s
+    life = evolve.assign_lifetimes(evolve.canonical(spark.createDataFrame(pairs, "src long, dst long")), cfg, Scratch(spark, "t"))
+    assert {(r.u, r.v): [r.snap_a, r.snap_d] for r in life.collect()} == want
+
+
 def test_absent_source_and_single_snapshot(spark):
     edges = spark.createDataFrame([(1, 2, 1, 0, NEVER), (2, 1, 1, 0, NEVER)], "src long, dst long, w int, snap_a int, snap_d int")
     cfg = EvolveConfig(snapshots=0, source=99, roots=2)
