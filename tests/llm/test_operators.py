@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -421,6 +422,38 @@ def test_rows_are_told_apart_by_id_and_text(spark):
     assert sorted(r._again for r in again) == at
 
 
+def shuffle_files(spark):
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = {held.apply(i).getName() for i in range(held.size())}
+    return {x for x in names if x.startswith("shuffle_")}
+
+
+def test_ngram_join_frees_what_it_no_longer_reads(spark, monkeypatch):
+    """When nodes are compared, only a row per node holds shingles, and no query leaves shuffle files."""
+    rows = near_rows()[:28]
+    rows += [(i + 1000, t, *rest) for i, t, *rest in rows]
+    seen, links = [], ngram_join.links
+
+    def watched(live, scratch, *more):
+        for _ in range(50):  # files go a moment after the query
+            left = shuffle_files(spark) - before
+            if not left:
+                break
+            time.sleep(0.1)
+        folder = scratch.root.removeprefix("file://")
+        seen.append((sorted(x.partition("-")[2] for x in os.listdir(folder)), left))
+        assert live.count() == live.select("node").distinct().count() <= len(rows) // 2
+        return links(live, scratch, *more)
+
+    monkeypatch.setattr(ngram_join, "links", watched)
+    s, before, name = Scratch(spark, "t"), shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+    got = ngram_join.near_components(spark.createDataFrame(rows, DOCS), s).collect()
+    assert seen == [(["live", "rows", "shards"], set())]
+    assert spark.conf.get(name) == was
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+
+
 def test_fragments_are_runs_of_the_order():
     histogram = [0, 0, 50, 30, 5] + [0] * 251
     at = ngram_join.cuts(histogram, 4)

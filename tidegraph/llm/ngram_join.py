@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tidegraph.llm import caches, files
 from tidegraph.llm.components import components
 from tidegraph.llm.tables import checked, content_key, drop_rows
-from tidegraph.session import Scratch
+from tidegraph.session import Scratch, delete
 
 WIDTH, PERCENT = 5, 80
 #: Buckets of the order are 2 to a power between these; so many bytes of text ask for one.
@@ -321,6 +321,7 @@ def overlaps(pairs: DataFrame, segments: DataFrame, scratch: Scratch) -> DataFra
     def count(batches):
         import pyarrow as pa
 
+        _orders.clear()  # the order is deleted by now, but its space is only free when no worker maps it
         key, own = None, None
         for b in batches:
             lead_id, salt, frag, member, seg = (b.column(i).to_pylist() for i in range(5))
@@ -345,6 +346,8 @@ def overlaps(pairs: DataFrame, segments: DataFrame, scratch: Scratch) -> DataFra
 def verified(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(lead, node, linked, dist) for every pair."""
     pairs = scratch.cut(pairs, "pairs")
+    met = pairs.select("node").unionByName(pairs.select(F.col("lead").alias("node"))).distinct()
+    segments = segments.join(checked(scratch.cut(met, "met")), "node", "left_semi")  # only what is compared is moved
     n = lambda c: sizes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
     common = overlaps(pairs, segments, scratch)
     rows = pairs.join(common, ["lead", "node"], "left").join(n("lead"), "lead").join(n("node"), "node")
@@ -367,10 +370,14 @@ def _marks(marks: DataFrame, at: str) -> DataFrame:
     return marks.select(F.col("node").alias(at), *(F.col(c).alias(f"{c}_{at}") for c in marks.columns if c != "node"))
 
 
-def links(rows: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links between nodes that connect all nodes of a component. rows: the table of nodes()."""
+def live_nodes(rows: DataFrame) -> DataFrame:
+    """Of the table of nodes(), one row of each node that has posts."""
     live = rows.where(F.col("segs").isNotNull()).select("node", "n", "mass", "posts", "places", "sig", "segs")
-    live = scratch.cut(live.dropDuplicates(["node"]), "live")  # equal sets fall together before they leave their tasks
+    return live.dropDuplicates(["node"])  # equal sets fall together before they leave their tasks
+
+
+def links(live: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links between nodes that connect all nodes of a component. live: live_nodes(), written."""
     segments = live.select("node", F.posexplode("segs").alias("frag", "seg"))
     marks = live.select("node", "n", *(F.col("sig")[k].alias(f"b{k}") for k in range(SIG_WORDS)))
     sizes = marks.select("node", "n")
@@ -388,12 +395,17 @@ def links(rows: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFram
     own = F.col("node") == F.col("lead")
     around = around.select("h", "place", "node", "mass", own.alias("top"), F.when(own, 0.0).otherwise(F.col("dist")).alias("dist"), (own | F.coalesce("linked", F.lit(False))).alias("near"))
     around = scratch.cut(around.join(marks, "node"), "around")
+    comp = None
     for left in range(ROUNDS, -1, -1):
-        comp = components(done.where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b")), scratch)
+        if comp is not None and left:
+            continue  # the last round compared nothing, so one like it would not either
+        if comp is None:
+            comp = components(done.where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b")), scratch)
         more = scratch.cut(_across(around, comp, done, scratch, percent, all_pairs=not left), "across")
         if more.isEmpty():
             continue
         done = scratch.cut(done.unionByName(verified(more, segments, sizes, scratch, percent)), "done")
+        comp = None
     return done.where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
 
 
@@ -436,12 +448,18 @@ def _across(around: DataFrame, comp: DataFrame, done: DataFrame, scratch: Scratc
 
 def parts(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, k1, k2, n, part (a name of the component; null for empty sets) of every row."""
-    rows = scratch.cut(nodes(docs, global_order(docs, scratch, width=width), width, percent), "nodes")
-    comp = components(links(rows, scratch, percent), scratch).withColumnRenamed("node", "_node")
-    full, empty = rows.where("node is not null"), rows.where("node is null")
-    named = full.join(comp, F.col("node") == F.col("_node"), "left").select("doc_id", "k1", "k2", "n", F.coalesce("root", "node").alias("part"))
-    named = scratch.cut(named.unionByName(empty.select("doc_id", "k1", "k2", "n", F.col("node").alias("part"))), "named")
-    scratch.sweep(named)
+    with scratch.lean():
+        order = global_order(docs, scratch, width=width)
+        wide = scratch.cut(nodes(docs, order, width, percent), "nodes")
+        delete(scratch.spark, order)
+        # shingles are kept once a node, not once a row
+        rows, live = scratch.cut(wide.select("doc_id", "k1", "k2", "node", "n"), "rows"), scratch.cut(live_nodes(wide), "live")
+        scratch.drop(wide)
+        comp = components(links(live, scratch, percent), scratch).withColumnRenamed("node", "_node")
+        full, empty = rows.where("node is not null"), rows.where("node is null")
+        named = full.join(comp, F.col("node") == F.col("_node"), "left").select("doc_id", "k1", "k2", "n", F.coalesce("root", "node").alias("part"))
+        named = scratch.cut(named.unionByName(empty.select("doc_id", "k1", "k2", "n", F.col("node").alias("part"))), "named")
+        scratch.sweep(named)
     return named
 
 
