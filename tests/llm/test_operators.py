@@ -10,11 +10,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tidegraph.llm import chat, components, decontaminate, encoders, language, mixing, ngram_join, quality, token_counts, token_files, toxicity, warc
+from tidegraph.llm import caches, chat, components, decontaminate, encoders, language, mixing, ngram_join, quality, token_counts, token_files, toxicity, warc
 from tidegraph.llm.queries import tokenizer_path
-from tidegraph.session import Scratch
+from tidegraph.session import BATCH, BATCH_BYTES, Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -219,6 +221,34 @@ def test_token_files(spark, docs, nothing):
     assert token_files.read(spark, token_files.write(nothing, tokenizer_path(), Scratch(spark, "t"))).count() == 0
 
 
+def test_workers_get_small_batches(spark, docs, monkeypatch):
+    held = {}
+    plain = Scratch.cut
+
+    def cut(self, df, name="step"):
+        held.setdefault(name, []).append(spark.conf.get(BATCH, None))
+        return plain(self, df, name)
+
+    monkeypatch.setattr(Scratch, "cut", cut)
+    token_files.write(docs, tokenizer_path(), Scratch(spark, "t"))
+    quality.keep(docs, Scratch(spark, "t"))
+    ngram_join.one_each(docs, Scratch(spark, "t"))
+    assert all(x == str(BATCH_BYTES) for name in ("parts", "scores", "nodes", "shards", "verified") for x in held[name])
+    assert spark.conf.get(BATCH, None) is None
+    rows = spark.range(0, 1500, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.column(0).get_total_buffer_size()], pa.int64())}) for b in batches)
+    with Scratch(spark, "t").small_batches():
+        got = plain(Scratch(spark, "t"), rows.mapInArrow(sizes, "n long")).collect()
+    assert 15_000_000 < sum(r.n for r in got) and max(r.n for r in got) < 2 * BATCH_BYTES
+
+
+def test_a_claim_empties_what_others_left():
+    ngram_join.shingles("one two three four five six")
+    assert ngram_join._word_hash
+    caches.claim("overlaps")
+    assert not ngram_join._word_hash
+
+
 # --- 4 -------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 _clear: dict[str, Callable[[], None]] = {}
@@ -20,3 +21,14 @@ def claim(owner: str) -> None:
             if name != owner:
                 clear()
         _owner = owner
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; the allocators would keep it for as long as the worker lives."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)

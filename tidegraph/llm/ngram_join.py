@@ -321,7 +321,8 @@ def overlaps(pairs: DataFrame, segments: DataFrame, scratch: Scratch) -> DataFra
     def count(batches):
         import pyarrow as pa
 
-        _orders.clear()  # the order is deleted by now, but its space is only free when no worker maps it
+        # the order is deleted by now, but its space is only free when no worker maps it; words are not hashed again
+        caches.claim("overlaps")
         key, own = None, None
         for b in batches:
             lead_id, salt, frag, member, seg = (b.column(i).to_pylist() for i in range(5))
@@ -448,7 +449,7 @@ def _across(around: DataFrame, comp: DataFrame, done: DataFrame, scratch: Scratc
 
 def parts(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, k1, k2, n, part (a name of the component; null for empty sets) of every row."""
-    with scratch.lean():
+    with scratch.lean(), scratch.small_batches():
         order = global_order(docs, scratch, width=width)
         wide = scratch.cut(nodes(docs, order, width, percent), "nodes")
         delete(scratch.spark, order)

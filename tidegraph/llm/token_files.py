@@ -69,7 +69,9 @@ def write(docs: DataFrame, path: str, scratch: Scratch, end_id: int = 2) -> str:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # the head of a text splits rows that share a doc_id, and keeps the order
     rows = rows.repartitionByRange("doc_id", F.substring("text", 1, HEAD)).sortWithinPartitions("doc_id", "text")
-    parts = scratch.cut(rows.mapInArrow(put, kind), "parts").orderBy("pid").collect()  # a row per partition
+    with scratch.small_batches():
+        parts = scratch.cut(rows.mapInArrow(put, kind), "parts")
+    parts = parts.orderBy("pid").collect()  # a row per partition
     base, listed = 0, []
     for p in parts:
         listed.append({"name": p["name"], "base": base, "docs": p["n_docs"], "tokens": p["n_tokens"]})
