@@ -247,3 +247,29 @@ def test_live_query_replays_a_batch(spark):
     for _ in range(2):  # a replay overwrites its own version
         live.apply(batch, 0)
         assert {r.v: r.val for r in live.values().collect()} == {0: 0, 1: INF, 2: INF, 5: 1}
+
+
+@pytest.mark.parametrize("name", ["ssnp", "sswp"])
+def test_few_edges_are_relaxed_by_workers(spark, name):
+    """The forest of Spark's rounds, ties included, and the values of plain relaxation."""
+    ring, rows = SEMIRINGS[name], random_graph(7)
+    edges, scratch = spark.createDataFrame(rows, "src long, dst long, w int, snap_a int, snap_d int"), Scratch(spark, "t")
+    vs, first = evolve.vertices(edges), evolve.snapshot_edges(edges, 0)
+    own = scratch.cut(dependency.start(vs, ring, 0).unionByName(dependency.start(vs, ring, 3).withColumn("k", F.lit(5).cast("long"))))
+    slow, fast = (dependency.relax(own, own, first, ring, scratch, few=few).where(ring.reached(F.col("val"))).collect() for few in (False, True))
+    assert {tuple(r) for r in slow} == {tuple(r) for r in fast} and len(slow) == len(fast) > 9
+    dense = scratch.cut(fixpoint.dense_state(vs, [0, 1, 2, 3], ring, 0))
+    got = fixpoint.relax(dense, dense, edges, ring, scratch, few=True)[0].collect()
+    assert {(r.sid, r.v): r.val for r in got} == {(sid, v): x for sid in range(4) for v, x in plain(rows, ring, 0, sid, {s for s, *_ in rows}).items()}
+
+
+def test_proxy_needs_no_job_per_round(spark):
+    """A long path of light edges beside heavy shortcuts, and a far component of higher degree."""
+    und = [(i, i + 1, 1 + i % 2, 0, 2 if i % 9 == 8 else NEVER) for i in range(60)] + [(0, i, 40, i % 3, NEVER) for i in range(3, 6)]
+    und += [(100, i, 5, 0, NEVER) for i in range(101, 115)]
+    rows = [x for s, d, *more in und for x in ((s, d, *more), (d, s, *more))]
+    edges = spark.createDataFrame(rows, "src long, dst long, w int, snap_a int, snap_d int")
+    vs, cfg, ring, scratch = {s for s, *_ in rows}, EvolveConfig(snapshots=2, source=30, roots=2, degree_limit=2), SEMIRINGS["ssnp"], Scratch(spark, "t")
+    got = {(r.sid, r.v): r.val for r in STRATEGIES["proxy"](edges, ring, cfg, scratch).collect()}
+    assert got == {(sid, v): x for sid in range(3) for v, x in plain(rows, ring, 30, sid, vs).items()}
+    assert not any("-round1" in p or "-dep" in p for p in scratch.made)
