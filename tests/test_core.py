@@ -263,13 +263,14 @@ def test_few_edges_are_relaxed_by_workers(spark, name):
     assert {(r.sid, r.v): r.val for r in got} == {(sid, v): x for sid in range(4) for v, x in plain(rows, ring, 0, sid, {s for s, *_ in rows}).items()}
 
 
-def test_proxy_needs_no_job_per_round(spark):
+@pytest.mark.parametrize("name", ["ssnp", "sswp"])
+def test_proxy_needs_no_job_per_round(spark, name):
     """A long path of light edges beside heavy shortcuts, and a far component of higher degree."""
     und = [(i, i + 1, 1 + i % 2, 0, 2 if i % 9 == 8 else NEVER) for i in range(60)] + [(0, i, 40, i % 3, NEVER) for i in range(3, 6)]
     und += [(100, i, 5, 0, NEVER) for i in range(101, 115)]
     rows = [x for s, d, *more in und for x in ((s, d, *more), (d, s, *more))]
     edges = spark.createDataFrame(rows, "src long, dst long, w int, snap_a int, snap_d int")
-    vs, cfg, ring, scratch = {s for s, *_ in rows}, EvolveConfig(snapshots=2, source=30, roots=2, degree_limit=2), SEMIRINGS["ssnp"], Scratch(spark, "t")
+    vs, cfg, ring, scratch = {s for s, *_ in rows}, EvolveConfig(snapshots=2, source=30, roots=2, degree_limit=2), SEMIRINGS[name], Scratch(spark, "t")
     got = {(r.sid, r.v): r.val for r in STRATEGIES["proxy"](edges, ring, cfg, scratch).collect()}
     assert got == {(sid, v): x for sid in range(3) for v, x in plain(rows, ring, 30, sid, vs).items()}
     assert not any("-round1" in p or "-dep" in p for p in scratch.made)
